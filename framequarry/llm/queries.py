@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat
+from .decontamination import find_contamination
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .quality import score_quality, train_quality
 from .sharding import shard_documents
 
 
@@ -22,6 +26,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, the benchmark items of which it holds a passage."""
+    found = find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("matches.item_id"))).alias("item_ids"), F.size("matches").alias("regions"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7, written by the template and read back."""
     control = spark.range(2).select(
@@ -36,6 +46,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; those below 0.5 are rejected."""
+    docs = _table(spark, sf_dir, "documents")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "quality", "text_quality", "meta_quality", (F.col("quality") >= 0.5).alias("accepted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; the shards' bytes are nearly equal."""
     found = shard_documents(_table(spark, sf_dir, "documents"), 16)
@@ -43,7 +60,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_chat_formatting, op7_near_duplicates, op9_sharding)}
+    return {f.__name__: f for f in (op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding)} | {"pipeline": corpus_pipeline.run}
 
 
 SQL: dict[str, str] = {}
