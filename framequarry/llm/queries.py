@@ -11,9 +11,11 @@ import corpus_pipeline
 
 from . import chat
 from .decontamination import find_contamination
+from .language import identify_languages, train_languages
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import score_quality, train_quality
+from .sampling import fold
 from .sharding import shard_documents
 
 
@@ -21,6 +23,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose id's checksum is not 0 modulo 5."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id")) == 0
+    model = train_languages(docs.filter(~held))
+    found = identify_languages(docs, model, keep=[F.col("doc_id"), held.alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,7 +71,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding)} | {"pipeline": corpus_pipeline.run}
 
 
 SQL: dict[str, str] = {}

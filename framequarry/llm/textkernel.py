@@ -80,36 +80,75 @@ def _hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[
     return words, np.diff(np.searchsorted(starts, bounds))
 
 
-def words(texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, hashes, words per row) for runs of rows, in order.
+def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Yield (first row, folded bytes, bounds of its rows, whether the last row is complete), in order.
 
-    A document longer than PIECE comes alone; its pieces are cut between words.
+    A row longer than PIECE comes alone, in several pieces cut after a byte of
+    ``between``; only its last piece is complete.
     """
     data, offsets = buffers(texts)
     rows, at = len(offsets) - 1, 0
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         lo, hi = int(offsets[at]), int(offsets[to])
-        if hi - lo <= PIECE:
-            found, counts = _hashes(fold[data[lo:hi]], offsets[at : to + 1] - lo, between)
-        else:
-            parts = []
-            while lo < hi:
-                end = min(hi, lo + PIECE)
-                if end < hi:
-                    gaps = np.flatnonzero(between[fold[data[lo:end]]])
-                    while not len(gaps) and end < hi:  # a word longer than a piece
-                        gaps = np.flatnonzero(between[fold[data[end : end + PIECE]]]) + (end - lo)
-                        end = min(hi, end + PIECE)
-                    end = lo + int(gaps[-1]) + 1 if len(gaps) else hi
-                parts.append(_hashes(fold[data[lo:end]], np.array([0, end - lo]), between)[0])
-                lo = end
-            found = np.concatenate(parts)
-            counts = np.array([len(found)])
-        yield at, found, counts
+        while True:
+            end = hi
+            if hi - lo > PIECE:
+                end = lo + PIECE
+                gaps = np.flatnonzero(between[fold[data[lo:end]]])
+                while not len(gaps) and end < hi:  # a word longer than a piece
+                    gaps = np.flatnonzero(between[fold[data[end : end + PIECE]]]) + (end - lo)
+                    end = min(hi, end + PIECE)
+                end = lo + int(gaps[-1]) + 1 if len(gaps) else hi
+            yield at, fold[data[lo:end]], (offsets[at : to + 1] - lo if end - lo == offsets[to] - offsets[at] else np.array([0, end - lo])), end == hi
+            lo = end
+            if lo >= hi:
+                break
         at = to
 
 
+def words(texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, hashes, words per row) for runs of rows, in order."""
+    parts = []
+    for at, data, bounds, whole in pieces(texts, between, fold):
+        found, counts = _hashes(data, bounds, between)
+        parts.append(found)
+        if whole:
+            if len(parts) > 1:
+                found = np.concatenate(parts)
+                counts = np.array([len(found)])
+            yield at, found, counts
+            parts = []
+
+
+def spaced(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with each of ``between`` as one space and a space before every row and at the end, and the row of each byte."""
+    lengths = np.diff(bounds)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.full(len(data) + len(lengths) + 1, 32, np.uint8)
+    out[np.arange(len(data)) + row + 1] = np.where(between[data], 32, data)
+    return out, np.append(np.repeat(np.arange(len(lengths)), lengths + 1), len(lengths) - 1)
+
+
+def byte_grams(text: np.ndarray, n: int, leading: bool = True, trailing: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of byte n-grams that lie in one word, with at most a space before or after it."""
+    m = len(text) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    space = np.concatenate([[0], np.cumsum(text == 32)])
+    ok = space[n - 1 : n - 1 + m] == space[1 : 1 + m]
+    if not leading:
+        ok &= text[:m] != 32
+    if not trailing:
+        ok &= text[n - 1 :] != 32
+    ok &= (text[:m] != 32) | (text[n - 1 :] != 32)
+    at = np.flatnonzero(ok)
+    total = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        total = total * np.uint64(257) + text[at + i].astype(np.uint64) + np.uint64(1)
+    return at, mix(total, n)
+
+
 def shingles(found: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """For each document, its distinct hashed shingles of ``width`` words, ascending.
 
