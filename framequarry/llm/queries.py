@@ -17,6 +17,7 @@ from .neardup import near_duplicates
 from .quality import score_quality, train_quality
 from .sampling import fold
 from .sharding import shard_documents
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +71,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by labels of those whose id's checksum is not 0 modulo 5."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 SQL: dict[str, str] = {}
