@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import chat
+from .ann import nearest_neighbours
 from .decontamination import find_contamination
 from .language import identify_languages, train_languages
 from .mixing import mix_sources
@@ -18,12 +19,35 @@ from .quality import score_quality, train_quality
 from .sampling import fold
 from .sharding import shard_documents
 from .toxicity import score_toxicity
+from .warc import read_warc, write_warc
+from .workspace import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = shared_dir(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    response = F.col("record_type") == "response"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("http_headers")["content-length"].try_cast("long")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose id's checksum is not 0 modulo 5."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -77,11 +101,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 SQL: dict[str, str] = {}
 
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+     w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS winner FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN winner IS NOT NULL AND winner IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN winner IS NOT NULL AND winner IS DISTINCT FROM page_id THEN winner END AS refers_to
+FROM w
+"""
+
 SQL["op6_chat_formatting"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
