@@ -1,11 +1,328 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framequarry.functions import camera, voxel
+from framequarry.operators import chunks, graph, matching, trajectory, voxels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL twin."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _frame(spark: SparkSession, sf_dir: str, label: int, i: str, v: str) -> DataFrame:
+    """The embeddings of one label as the keypoints of one frame."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("label") == label).select(F.col("vec_id").alias(i), F.col("embedding").alias(v))
+
+
+DISTANCES = """
+WITH d AS (SELECT a.vec_id AS i, b.vec_id AS j, acos(greatest(-1.0, least(1.0, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))) AS dist
+           FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1)
+"""
+
+
+@query(DISTANCES + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk, lead(dist) OVER (PARTITION BY i ORDER BY dist, j) AS second FROM d)
+, c AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY dist, i) AS rk, lead(dist) OVER (PARTITION BY j ORDER BY dist, i) AS second FROM d)
+SELECT r.i, r.j, round(r.dist, 9) AS dist FROM r JOIN c ON r.i = c.i AND r.j = c.j
+WHERE r.rk = 1 AND c.rk = 1 AND r.dist < 1.5 AND (r.second IS NULL OR r.dist < 0.98 * r.second) AND (c.second IS NULL OR c.dist < 0.98 * c.second)
+""")
+def mutual_ratio_match(spark, sf_dir):
+    """Keypoints of two frames that are each other's nearest under the ratio test."""
+    found = matching.mutual_ratio_matches(_frame(spark, sf_dir, 0, "i", "vi"), _frame(spark, sf_dir, 1, "j", "vj"), 1.5, 0.98)
+    return found.select("i", "j", F.round("dist", 9).alias("dist"))
+
+
+@query(DISTANCES + "SELECT i, j, round(dist, 9) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d) WHERE rank <= 5")
+def topk_matches(spark, sf_dir):
+    """The five nearest keypoints of the other frame."""
+    pairs = matching.distances(_frame(spark, sf_dir, 0, "i", "vi"), _frame(spark, sf_dir, 1, "j", "vj"))
+    return matching.best_matches(pairs, ["i"], ["dist", "j"], 5).select("i", "j", F.round("dist", 9).alias("dist"), "rank")
+
+
+@query("""
+SELECT CAST(floor(l_quantity / 8) AS INT) AS bx, CAST(floor(l_discount * 100 / 8) AS INT) AS by_,
+       round(sum(l_extendedprice * l_tax) / sum(l_tax), 6) AS mean, round(sum(l_tax), 6) AS weight, count(*) AS samples
+FROM lineitem GROUP BY 1, 2 HAVING sum(l_tax) > 0.001
+""")
+def voxel_mean(spark, sf_dir):
+    """Weighted mean of prices in blocks of quantity and discount."""
+    rows = table(spark, sf_dir, "lineitem", "l_quantity", "l_discount", "l_extendedprice", "l_tax")
+    cells = rows.select(voxel.voxel_to_block(F.col("l_quantity")).alias("bx"), voxel.voxel_to_block(F.col("l_discount") * 100).alias("by_"), "l_extendedprice", "l_tax")
+    fused = voxels.fuse(cells, ["bx", "by_"], F.col("l_extendedprice"), F.col("l_tax")).filter("weight > 0")
+    return fused.select("bx", "by_", F.round("mean", 6).alias("mean"), F.round("weight", 6).alias("weight"), "samples")
+
+
+@query("""
+SELECT user_id, round(CASE WHEN n > 0 THEN s / n END, 6) AS mean, CAST(greatest(n, 0) AS DOUBLE) AS weight FROM (
+  SELECT user_id, sum(CASE WHEN event_type = 'error' THEN -value ELSE value END) AS s, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS n FROM events GROUP BY user_id)
+""")
+def retract_mean(spark, sf_dir):
+    """Mean value of each user after the samples of errors are taken out again."""
+    rows = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    sign = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return voxels.fuse(rows, ["user_id"], F.col("value"), F.lit(1), sign).select("user_id", F.round("mean", 6).alias("mean"), F.col("weight").cast("double").alias("weight"))
+
+
+NUMBERED = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"
+
+
+def _numbered(spark, sf_dir, *columns):
+    rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id", *columns)
+    return chunks.numbered(rows, ["user_id"], ["ts", "event_id"])
+
+
+@query(NUMBERED + """
+SELECT user_id, CAST(floor(idx / 10) AS BIGINT) AS chunk, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS event_id, max(value) AS value FROM n GROUP BY 1, 2
+""")
+def chunk_top(spark, sf_dir):
+    """The event of largest value in every chunk of ten."""
+    rows = _numbered(spark, sf_dir, "value").withColumn("chunk", F.floor(F.col("idx") / 10).cast("long"))
+    return graph.worst(rows, ["user_id", "chunk"], "value", ["event_id"])
+
+
+@query(NUMBERED + """
+, o AS (SELECT user_id, event_id, CAST(floor(idx / 10) AS BIGINT) AS chunk, CAST(idx % 10 AS INT) AS slot FROM n)
+SELECT user_id, event_id, chunk, slot FROM o UNION ALL SELECT user_id, event_id, chunk - 1, 10 FROM o WHERE slot = 0 AND chunk > 0
+""")
+def overlap_chunks(spark, sf_dir):
+    """Count windows of eleven events that slide by ten."""
+    return chunks.overlapping_chunks(_numbered(spark, sf_dir), 10).select("user_id", "event_id", "chunk", "slot")
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       CAST(xor(xor((l_orderkey * 73856093) & 4294967295, (l_partkey * 19349669) & 4294967295), (l_suppkey * 83492791) & 4294967295) % 800000 AS BIGINT) AS bucket
+FROM lineitem
+""")
+def spatial_hash(spark, sf_dir):
+    """Hash bucket of integer coordinates."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return rows.withColumn("bucket", voxel.spatial_hash(F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), 800000))
+
+
+@query("""
+SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events
+""")
+def asof_prev(spark, sf_dir):
+    """The newest earlier purchase of each event's user."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")
+    found = chunks.last_before(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_id"))
+    return found.select("event_id", "user_id", "previous")
+
+
+VERSIONS = """
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 3 <> 0),
+     n AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 5 <> 0),
+     c AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.v IS NULL THEN 'add' WHEN n.v IS NULL THEN 'remove' WHEN o.v <> n.v THEN 'move' END AS op, o.v AS old_value, n.v AS new_value
+           FROM o FULL OUTER JOIN n ON o.o_orderkey = n.o_orderkey)
+"""
+
+
+def _versions(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    old = rows.filter("o_orderkey % 3 <> 0").select("o_orderkey", cents.alias("v"))
+    new = rows.filter("o_orderkey % 5 <> 0").select("o_orderkey", (cents + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v"))
+    return trajectory.changes(old, new, "o_orderkey", "v")
+
+
+@query(VERSIONS + "SELECT * FROM c WHERE op IS NOT NULL")
+def changelog(spark, sf_dir):
+    """Additions, removals and moves between two versions of orders."""
+    return _versions(spark, sf_dir)
+
+
+@query(VERSIONS + "SELECT o_orderkey, -1 AS sign, old_value AS value FROM c WHERE op IS NOT NULL AND old_value IS NOT NULL UNION ALL SELECT o_orderkey, 1, new_value FROM c WHERE op IS NOT NULL AND new_value IS NOT NULL")
+def signed_changes(spark, sf_dir):
+    """The same change log as retractions and insertions."""
+    return trajectory.signed(_versions(spark, sf_dir), "o_orderkey")
+
+
+@query(VERSIONS + "SELECT o_orderkey, op, old_value, new_value, CASE op WHEN 'remove' THEN 0 WHEN 'add' THEN 1 ELSE 2 END AS priority FROM c WHERE op IS NOT NULL ORDER BY priority, o_orderkey LIMIT 10")
+def next_corrections(spark, sf_dir):
+    """The ten changes to apply next."""
+    return trajectory.corrections(_versions(spark, sf_dir), "o_orderkey")
+
+
+@query("""
+WITH w AS (SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) WHERE rk = 1)
+SELECT o.o_custkey, o.o_orderkey, c.c_nationkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.o_custkey = o.o_custkey AND w.o_orderkey = o.o_orderkey)
+""")
+def worst_pairs_removed(spark, sf_dir):
+    """Orders with their customer, without each customer's largest order."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice")
+    bad = graph.worst(orders, ["o_custkey"], "o_totalprice", ["o_orderkey"])
+    kept = graph.drop_pairs(orders, bad, ["o_custkey", "o_orderkey"])
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    return kept.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_nationkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def isolated_nodes(spark, sf_dir):
+    """Customers without any order."""
+    return graph.isolated(table(spark, sf_dir, "customer", "c_custkey", "c_name"), table(spark, sf_dir, "orders", "o_custkey"), "c_custkey", "o_custkey")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+                     WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.45),
+     s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+     r(node, reached) AS (SELECT DISTINCT u, u FROM s UNION SELECT r.node, s.v FROM r JOIN s ON r.reached = s.u)
+SELECT node, min(reached) AS root FROM r GROUP BY node
+""")
+def components(spark, sf_dir):
+    """Components of similar keypoints within a frame."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    a = rows.select(F.col("vec_id").alias("u"), F.col("embedding").alias("a"), "label")
+    b = rows.select(F.col("vec_id").alias("v"), F.col("embedding").alias("b"), "label")
+    edges = a.join(b, (a["label"] == b["label"]) & (F.col("u") < F.col("v"))).filter(matching.dot(F.col("a"), F.col("b")) > 0.45).select("u", "v")
+    return graph.components(edges)
+
+
+@query("SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18, 4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM events")
+def prefix_sum(spark, sf_dir):
+    """Running sum of each user's values."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    out = chunks.prefix_sum(rows, ["user_id"], ["ts", "event_id"], F.col("value").cast("decimal(18,4)"))
+    return out.select("event_id", "user_id", F.col("total").cast("double").alias("total"))
+
+
+@query("SELECT held, count(*) AS buckets FROM (SELECT (l_orderkey * 31 + l_partkey) % 5000 AS bucket, count(*) AS held FROM lineitem GROUP BY 1) GROUP BY held")
+def histogram(spark, sf_dir):
+    """How many hash buckets hold n rows."""
+    return voxels.occupancy_histogram(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey"), (F.col("l_orderkey") * 31 + F.col("l_partkey")) % 5000)
+
+
+_W = "(PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(f"""
+WITH n AS (SELECT event_id, value AS c, lag(value, 2) OVER w AS a2, lag(value, 1) OVER w AS a1, lead(value, 1) OVER w AS b1, lead(value, 2) OVER w AS b2 FROM events WINDOW w AS {_W}),
+     g AS (SELECT event_id, c, unnest([a2, a1, c, b1, b2]) AS v, unnest([exp(-2.0), exp(-0.5), 1.0, exp(-0.5), exp(-2.0)]) AS g FROM n)
+SELECT event_id, round(sum(g * v) / sum(g), 6) AS smooth FROM g WHERE v IS NOT NULL AND abs(v - c) < 50 GROUP BY event_id
+""")
+def gauss_smooth_1d(spark, sf_dir):
+    """Edge-keeping Gaussian mean along each user's events."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    return chunks.smooth(rows, ["user_id"], ["ts", "event_id"], "value", 1.0, 50.0).select("event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"SELECT event_id, round((lead(value) OVER {_W} - lag(value) OVER {_W}) / 2, 6) AS slope FROM events")
+def sobel_1d(spark, sf_dir):
+    """Central difference along each user's events."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    return chunks.derivative(rows, ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("slope", 6).alias("slope"))
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1500 AND p_partkey BETWEEN 100 AND 1000000")
+def box_filter(spark, sf_dir):
+    """Parts inside an axis-aligned box."""
+    return voxels.within_box(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"), {"p_size": (10, 20), "p_retailprice": (1000, 1500), "p_partkey": (100, 1000000)})
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 25 AS high FROM part WHERE p_size = 1)
+SELECT o_orderkey, p_partkey FROM orders JOIN r ON o_totalprice / 100 BETWEEN low AND high
+""")
+def range_join(spark, sf_dir):
+    """Orders whose price in hundreds lies in a part's price range."""
+    points = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"))
+    ranges = table(spark, sf_dir, "part", "p_partkey", "p_retailprice", "p_size").filter("p_size = 1").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 25).alias("high"))
+    return voxels.range_join(points, ranges, "x", "low", "high", 25.0).select("o_orderkey", "p_partkey")
+
+
+@query("""
+SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_x, round(avg(l_discount), 6) AS mean_y,
+       round(var_pop(l_quantity), 4) AS xx, round(covar_pop(l_quantity, l_discount), 6) AS xy, round(var_pop(l_discount), 6) AS yy FROM lineitem GROUP BY l_returnflag
+""")
+def moments(spark, sf_dir):
+    """Mean and covariance of points per group."""
+    rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_discount")
+    x, y = F.col("l_quantity"), F.col("l_discount")
+    return rows.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean_x"), F.round(F.avg(y), 6).alias("mean_y"),
+        F.round(F.var_pop(x), 4).alias("xx"), F.round(F.covar_pop(x, y), 6).alias("xy"), F.round(F.var_pop(y), 6).alias("yy"),
+    )
+
+
+@query("SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INT) AS open, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY open DESC, o_totalprice DESC, o_orderkey LIMIT 30")
+def worklist_topn(spark, sf_dir):
+    """The thirty orders to look at next: open ones first, then the largest."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").withColumn("open", (F.col("o_orderstatus") == "O").cast("int"))
+    return trajectory.work_list(rows, "open", "o_totalprice", "o_orderkey", 1000.0, 30).select("o_orderkey", "open", "o_totalprice")
+
+
+@query("""
+SELECT count(*) AS frames, count(CASE WHEN event_type <> 'error' THEN 1 END) AS valid_frames,
+       count(CASE WHEN event_type <> 'error' THEN 1 END) >= round(0.5 * count(*)) AS valid FROM events
+""")
+def frame_validity(spark, sf_dir):
+    """Run summary: a run is valid if at least half of its frames are."""
+    rows = table(spark, sf_dir, "events", "event_type")
+    good = F.count_if(F.col("event_type") != "error")
+    return rows.agg(F.count("*").alias("frames"), good.alias("valid_frames"), (good >= F.round(0.5 * F.count("*"))).alias("valid"))
+
+
+@query("""
+SELECT user_id, n, round(CASE WHEN n < 800 THEN 0.0 ELSE 1 / least(ln(n), 9) END, 9) AS weight FROM (SELECT user_id, count(*) * 40 AS n FROM events GROUP BY user_id)
+""")
+def dense_weights(spark, sf_dir):
+    """Weight of a pair's dense term from its number of matches."""
+    rows = table(spark, sf_dir, "events", "user_id").groupBy("user_id").agg((F.count("*") * 40).alias("n"))
+    return rows.select("user_id", "n", F.round(camera.dense_weight(F.col("n")), 9).alias("weight"))
+
+
+@query("SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1")
+def latest_version(spark, sf_dir):
+    """The newest event of each user."""
+    rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id", "value").withColumn("version", F.struct("ts", "event_id"))
+    return trajectory.latest(rows, ["user_id"], "version").select("user_id", "ts", "event_id", "value")
+
+
+@query("""
+SELECT DISTINCT CAST(floor(round(l_extendedprice / 100) / 8) AS INT) AS bx, CAST(floor(round(l_quantity) / 8) AS INT) AS by_ FROM lineitem
+""")
+def allocated_blocks(spark, sf_dir):
+    """The blocks that any sample falls into."""
+    rows = table(spark, sf_dir, "lineitem", "l_extendedprice", "l_quantity")
+    return rows.select(voxel.world_to_block(F.col("l_extendedprice"), 100.0).alias("bx"), voxel.world_to_block(F.col("l_quantity"), 1.0).alias("by_")).distinct()
+
+
+@query("""
+SELECT o_orderstatus, CAST(floor(o_totalprice / 50000) AS INT) AS bx, max(floor(o_totalprice / 100000)) AS most FROM orders GROUP BY 1, 2 HAVING max(floor(o_totalprice / 100000)) > 0
+""")
+def live_blocks(spark, sf_dir):
+    """Blocks whose largest whole weight is above 0."""
+    rows = table(spark, sf_dir, "orders", "o_orderstatus", "o_totalprice").select("o_orderstatus", F.floor(F.col("o_totalprice") / 50000).cast("int").alias("bx"), (F.col("o_totalprice") / 100000).alias("weight"))
+    return voxels.live_blocks(rows, ["o_orderstatus", "bx"]).select("o_orderstatus", "bx", F.col("most").cast("double").alias("most"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
