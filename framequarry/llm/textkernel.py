@@ -97,7 +97,7 @@ def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray) -> Iterator[t
                 end = lo + PIECE
                 gaps = np.flatnonzero(between[fold[data[lo:end]]])
                 while not len(gaps) and end < hi:  # a word longer than a piece
-                    gaps = np.flatnonzero(between[fold[data[end : end + PIECE]]]) + (end - lo)
+                    gaps = np.flatnonzero(between[fold[data[end : min(hi, end + PIECE)]]]) + (end - lo)
                     end = min(hi, end + PIECE)
                 end = lo + int(gaps[-1]) + 1 if len(gaps) else hi
             yield at, fold[data[lo:end]], (offsets[at : to + 1] - lo if end - lo == offsets[to] - offsets[at] else np.array([0, end - lo])), end == hi
