@@ -116,6 +116,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
+SQL["op4_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+b AS (SELECT *, length(bin(greatest(size, 1))) - 1 AS band FROM d),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+wt AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM src),
+lv AS (SELECT *, row_number() OVER o AS pos,
+         CAST((sum(source_size) OVER ()) - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+       FROM wt WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
+tg AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(level, pos) FROM lv WHERE level * weight <= 3 * source_size) * weight) AS target FROM lv),
+bw AS (SELECT source, band, sum(size) AS words, 16.0::DOUBLE / (16 + band) AS lean FROM b GROUP BY ALL),
+fc AS (SELECT bw.*, tg.source_size, tg.target,
+         (target - coalesce(sum(3 * words) OVER (PARTITION BY bw.source ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / nullif(sum(words * lean) OVER (PARTITION BY bw.source ORDER BY band ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS factor
+       FROM bw JOIN tg ON bw.source IS NOT DISTINCT FROM tg.source),
+fm AS (SELECT source, arg_min(factor, band) AS factor FROM fc WHERE factor * lean <= 3 AND target < 3 * source_size GROUP BY source),
+ex AS (SELECT fc.source, band, words, target, source_size, coalesce(least(3.0::DOUBLE, fm.factor * lean), 3.0::DOUBLE) AS expected FROM fc LEFT JOIN fm ON fc.source IS NOT DISTINCT FROM fm.source),
+pl AS (SELECT *, CAST(floor(expected) AS BIGINT) AS sure, expected - floor(expected) AS share, target - sum(words * floor(expected)) OVER (PARTITION BY source) AS rest FROM ex),
+ky AS (SELECT b.doc_id, b.source, b.size, pl.source_size, pl.target, sure, share, rest, (CAST('0x' || substr(md5(b.doc_id || ':0'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u
+       FROM b JOIN pl ON b.source IS NOT DISTINCT FROM pl.source AND b.band = pl.band),
+k2 AS (SELECT *, CASE WHEN share > 0 THEN u * (1 - share) / (u * (1 - share) + share * (1 - u)) END AS key FROM ky),
+cm AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key RANGE UNBOUNDED PRECEDING) AS cum FROM k2 WHERE key IS NOT NULL),
+sh AS (SELECT source, max(rest) - coalesce(max(CASE WHEN cum <= rest THEN cum END), 0) AS short FROM cm GROUP BY source),
+cl AS (SELECT cm.source, arg_min(struct_pack(key := key, size := size, off := abs(short - size)), struct_pack(off := abs(short - size), key := key, size := size)) AS c, max(short) AS short
+       FROM cm JOIN sh ON cm.source IS NOT DISTINCT FROM sh.source WHERE cum > rest GROUP BY cm.source)
+SELECT k2.doc_id, k2.size, k2.source_size, k2.target,
+       CAST(k2.size * (k2.sure + CASE WHEN cm.cum <= k2.rest OR (cl.c.off < cl.short AND cl.c.key = k2.key AND cl.c.size = k2.size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k2 LEFT JOIN cm ON k2.doc_id = cm.doc_id LEFT JOIN cl ON k2.source IS NOT DISTINCT FROM cl.source
+"""
+
+SQL["op7_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS v FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n_shingles + b.n_shingles - i)),
+g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, g.y FROM r JOIN g ON r.reached = g.x)
+SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) c ON n.doc_id = c.node
+"""
+
 SQL["op6_chat_formatting"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
