@@ -62,4 +62,4 @@ def derivative(rows: DataFrame, key: list[str], order: list[str], value: str, na
 def thin_levels(levels: DataFrame, level: str, count: str, wanted: int) -> DataFrame:
     """Drop finest levels while those above still hold more than ``wanted``; the table is one row a level."""
     coarser = F.sum(count).over(W.orderBy(F.desc(level)).rowsBetween(W.unboundedPreceding, -1))
-    return levels.filter(F.coalesce(coarser, F.lit(0)) <= wanted)
+    return levels.withColumn("_coarser", F.coalesce(coarser, F.lit(0))).filter(F.col("_coarser") <= wanted).drop("_coarser")
