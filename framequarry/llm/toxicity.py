@@ -82,6 +82,20 @@ def _hits(vocabulary, columns: int):
     return run
 
 
+def _frequencies(terms: int):
+    """Batches of feature lists -> for each partition how many texts have each feature, and (feature -1) how many texts there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(terms, np.int64), 0
+        for batch in batches:
+            held += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
+            n += batch.num_rows
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(held[some], n))], names=["feature", "held"])
+
+    return run
+
+
 def vectors(features: pa.Array, counts: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows (zero where a text has no feature)."""
     out = np.zeros((len(features), len(idf)))
@@ -195,8 +209,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
 
     kind = rows.schema["id"].dataType.simpleString()
     hits = cut(rows.mapInArrow(_hits(spark.sparkContext.broadcast(vocabulary), 1), f"id {kind}, features array<int>, counts array<int>"), "hits")
-    held_by = {r["f"]: r["count"] for r in hits.select(F.explode("features").alias("f")).groupBy("f").count().collect()}
-    n = hits.count()
+    partial = hits.select("features").mapInArrow(_frequencies(len(vocabulary)), "feature int, held long")
+    held_by = {r["feature"]: r["held"] for r in partial.groupBy("feature").agg(F.sum("held").alias("held")).collect()}
+    n = held_by.pop(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + held_by.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
     sample = hits.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).withColumn("calibrates", fold(F.col("id")) == (held + 1) % 5).orderBy("id").toArrow()
     model = _fit(sample, vocabulary, idf)
