@@ -26,8 +26,8 @@ from .workspace import cut
 
 #: Vectors that the codes are learned on, at most; of them so many ask in the calibration of the radius.
 SAMPLE, ASK = 8192, 256
-#: Bits of a substring; vectors and queries that one task compares.
-BITS, ROWS, QUERIES = 8, 16384, 4096
+#: Vectors and queries that one task compares.
+ROWS, QUERIES = 16384, 4096
 
 
 @dataclass(frozen=True)
@@ -79,44 +79,41 @@ def learn(x: np.ndarray, k: int, recall: float, bits: int, rounds: int = 30, see
     return Codes(mean, codes.rotation, longest, int(np.quantile(far, recall, method="higher")))
 
 
-def neighbourhood(width: int, radius: int) -> list[int]:
-    """Differences of up to ``radius`` bits of a ``width``-bit substring."""
-    return [v for v in range(1 << width) if v.bit_count() <= radius]
+#: Hamming distance of two substrings.
+DIFFERENCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 class Tables:
-    """Codes of one block, indexed by each of their substrings (bytes)."""
+    """Codes of one block, indexed by each of their substrings (bytes) for one radius.
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
-        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(codes.shape[1])]
-        self.starts = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+    The postings of a substring value are the rows whose substring lies in its
+    neighbourhood, as a bitmap; probing a code joins one bitmap for each substring.
+    """
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+    def __init__(self, codes: np.ndarray, radius: int):
+        self.radius, self.rows = radius, len(codes)
+        wide = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+        self.words = np.ascontiguousarray(wide.T)
+        a, b = divmod(radius, codes.shape[1])
+        self.probed = [j for j in range(codes.shape[1]) if (a if j <= b else a - 1) >= 0]
+        size = -(-len(codes) // 64) * 8
+        self.postings = np.zeros((len(self.probed), 256, size), np.uint8)
+        for t, j in enumerate(self.probed):
+            near = DIFFERENCE <= (a if j <= b else a - 1)
+            self.postings[t, :, : -(-len(codes) // 8)] = np.packbits(near[:, codes[:, j]], axis=1)
+
+    def within(self, code: np.ndarray) -> np.ndarray:
         """Positions of all codes within the radius."""
-        m = self.codes.shape[1]
-        a, b = divmod(radius, m)
-        seen = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            reach = a if j <= b else a - 1
-            if reach < 0:
-                continue
-            for v in _probes(reach):
-                bucket = int(code[j]) ^ v
-                seen[self.order[j][self.starts[j][bucket] : self.starts[j][bucket + 1]]] = True
-        found = np.flatnonzero(seen)
-        word = np.pad(code, (0, -len(code) % 8)).view(np.uint64)
-        return found[np.bitwise_count(self.words[found] ^ word).sum(1) <= radius]
-
-
-_known_probes: dict[int, list[int]] = {}
-
-
-def _probes(radius: int) -> list[int]:
-    if radius not in _known_probes:
-        _known_probes[radius] = neighbourhood(BITS, min(radius, BITS))
-    return _known_probes[radius]
+        lists = self.postings[np.arange(len(self.probed)), code[self.probed]].view(np.uint64)
+        seen = np.unpackbits(np.bitwise_or.reduce(lists, axis=0).view(np.uint8), count=self.rows).view(bool)
+        query = np.pad(code, (0, -len(code) % 8)).view(np.uint64)
+        found = np.flatnonzero(seen) if seen.mean() < 0.3 else None
+        words = self.words if found is None else self.words[:, found]
+        far = np.zeros(words.shape[1], np.uint16)
+        for mine, theirs in zip(query, words):
+            far += np.bitwise_count(theirs ^ mine)
+        inside = far <= self.radius
+        return np.flatnonzero(seen & inside) if found is None else found[inside]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -128,10 +125,10 @@ def _search(codes, k: int):
 
     def answers(keys: list[int], queries: np.ndarray, ids: list[np.ndarray], x: np.ndarray) -> Iterator[tuple[int, list[tuple[int, float]]]]:
         c: Codes = codes.value
-        tables = Tables(c.encode(x))
+        tables = Tables(c.encode(x), c.radius)
         counts = np.array([len(i) for i in ids])
         for key, q, code in zip(keys, queries, c.encode(queries, query=True)):
-            near = tables.within(code, c.radius)
+            near = tables.within(code)
             score = (x[near] * q).sum(1)  # row by row in one order, so equal vectors score the same
             if len(near) > k:
                 keep = score >= np.partition(score, -k)[-k]

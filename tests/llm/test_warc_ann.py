@@ -94,10 +94,10 @@ def test_nearest_with_ties_and_bad_vectors(spark, monkeypatch):
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (500, 6), dtype=np.uint8)
-    tables = Tables(codes)
     for radius in (0, 3, 7, 12, 20):
+        tables = Tables(codes, radius)
         want = np.flatnonzero(np.bitwise_count(codes ^ codes[7]).sum(1) <= radius)
-        assert tables.within(codes[7], radius).tolist() == want.tolist()
+        assert tables.within(codes[7]).tolist() == want.tolist()
 
 
 def test_codes_keep_the_nearest_close():
