@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.functions import camera, voxel
-from framequarry.operators import chunks, graph, matching, trajectory, voxels
+from framequarry.operators import chunks, features, graph, matching, rigid, trajectory, verify, voxels
+from framequarry.sources import sinks
+from framequarry.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,10 +182,11 @@ def worst_pairs_removed(spark, sf_dir):
     return kept.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_nationkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
 def isolated_nodes(spark, sf_dir):
-    """Customers without any order."""
-    return graph.isolated(table(spark, sf_dir, "customer", "c_custkey", "c_name"), table(spark, sf_dir, "orders", "o_custkey"), "c_custkey", "o_custkey")
+    """Customers without any large order."""
+    large = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").filter("o_totalprice > 400000")
+    return graph.isolated(table(spark, sf_dir, "customer", "c_custkey", "c_name"), large, "c_custkey", "o_custkey")
 
 
 @query("""
@@ -237,10 +240,10 @@ def sobel_1d(spark, sf_dir):
     return chunks.derivative(rows, ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("slope", 6).alias("slope"))
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1500 AND p_partkey BETWEEN 100 AND 1000000")
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 920 AND 980 AND p_partkey BETWEEN 100 AND 1000000")
 def box_filter(spark, sf_dir):
     """Parts inside an axis-aligned box."""
-    return voxels.within_box(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"), {"p_size": (10, 20), "p_retailprice": (1000, 1500), "p_partkey": (100, 1000000)})
+    return voxels.within_box(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"), {"p_size": (10, 20), "p_retailprice": (920, 980), "p_partkey": (100, 1000000)})
 
 
 @query("""
@@ -320,6 +323,143 @@ def live_blocks(spark, sf_dir):
     return voxels.live_blocks(rows, ["o_orderstatus", "bx"]).select("o_orderstatus", "bx", F.col("most").cast("double").alias("most"))
 
 
+CAMERA = camera.Camera(525.0, 520.0, 319.5, 239.5, 640, 480, 0.1, 8.0)
+DEPTH = "o_totalprice / 100000"
+POINT = f"""
+WITH d AS (SELECT o_orderkey, o_custkey % 640 AS u, o_orderkey % 480 AS v, {DEPTH} AS z FROM orders),
+     p AS (SELECT *, (u - 319.5) / 525.0::DOUBLE * z AS x, (v - 239.5) / 520.0::DOUBLE * z AS y FROM d)
+"""
+
+
+def _points(spark, sf_dir):
+    """Orders as pixels with depth, back-projected."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    rows = rows.select("o_orderkey", (F.col("o_custkey") % 640).alias("u"), (F.col("o_orderkey") % 480).alias("v"), (F.col("o_totalprice") / 100000).alias("z"))
+    return rows.withColumn("p", CAMERA.back_project(F.col("u"), F.col("v"), F.col("z")))
+
+
+@query(POINT + "SELECT o_orderkey, x, y, z FROM p")
+def back_projection(spark, sf_dir):
+    """Camera-space points of pixels."""
+    return _points(spark, sf_dir).select("o_orderkey", "p.x", "p.y", "p.z")
+
+
+@query(POINT + """
+, m AS (SELECT o_orderkey, x + 0.25 AS x, y - 0.1 AS y, z + 0.5 AS z FROM p)
+SELECT o_orderkey, CAST(trunc(x * 525.0 / z + 319.5 + 0.5) AS INT) AS u, CAST(trunc(y * 520.0 / z + 239.5 + 0.5) AS INT) AS v FROM m
+WHERE z > 0 AND (2 * (x * 525.0 / z + 319.5) / 639 - 1) * 0.95 BETWEEN -1 AND 1 AND (1 - 2 * (y * 520.0 / z + 239.5) / 479) * 0.95 BETWEEN -1 AND 1 AND (z - 0.1) / 7.9 * 0.95 BETWEEN 0 AND 1
+""")
+def frustum_pixels(spark, sf_dir):
+    """Pixels of moved points that the camera still sees."""
+    x, y, z = F.col("p.x") + 0.25, F.col("p.y") - 0.1, F.col("p.z") + 0.5
+    u, v = CAMERA.pixel(x, y, z)
+    return _points(spark, sf_dir).filter(CAMERA.in_frustum(x, y, z)).select("o_orderkey", u.alias("u"), v.alias("v"))
+
+
+@query(POINT + """
+, k AS (SELECT CAST(trunc((x + 0.25) * 525.0 / z + 319.5 + 0.5) AS INT) AS u, CAST(trunc(y * 520.0 / z + 239.5 + 0.5) AS INT) AS v, z FROM p WHERE z > 0)
+SELECT CAST(0 AS BIGINT) AS frame, u, v, min(z) AS depth FROM k WHERE u BETWEEN 0 AND 639 AND v BETWEEN 0 AND 479 GROUP BY u, v
+""")
+def recalibrated_depth(spark, sf_dir):
+    """Depth as another camera sees it: the nearest point of each pixel."""
+    rows = _points(spark, sf_dir).select(F.lit(0).cast("long").alias("frame"), "p.x", "p.y", "p.z")
+    return verify.recalibrated_depth(rows, CAMERA, [1, 0, 0, 0.25, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1])
+
+
+TURN = [0.36, 0.48, -0.8, 1.5, -0.8, 0.6, 0.0, -2.0, 0.48, 0.64, 0.6, 0.75]
+
+
+@query("SELECT l_returnflag, unnest(range(12)) AS cell, unnest([" + ", ".join(map(str, TURN)) + "]) AS value, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def rigid_fit(spark, sf_dir):
+    """The rigid motion that points of each group went through, found again from the points."""
+    rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    src = [F.col("l_quantity") / 10, F.col("l_discount") * 10, F.col("l_tax") * 10]
+    cells = F.array(*[F.lit(float(x)) for x in [*TURN, 0, 0, 0, 1]])
+    moved = rows.select("l_returnflag", *[c.alias(n) for c, n in zip(src, rigid.SOURCE)]).withColumn("t", camera.transform_point(cells, *[F.col(n) for n in rigid.SOURCE]))
+    fitted = rigid.kabsch(moved.select("l_returnflag", *rigid.SOURCE, *[F.col(f"t.{a}").alias(n) for a, n in zip("xyz", rigid.TARGET)]), ["l_returnflag"])
+    return fitted.select("l_returnflag", F.posexplode(F.slice("transform", 1, 12)).alias("cell", "value"), "n").select("l_returnflag", F.col("cell").cast("long").alias("cell"), F.round("value", 6).alias("value"), "n")
+
+
+@query("""
+WITH t AS (SELECT user_id, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM (SELECT user_id, value AS x, CAST(event_id % 97 AS DOUBLE) AS y FROM events) GROUP BY user_id),
+     r AS (SELECT e.user_id, cos(a) * value + sin(a) * (event_id % 97) AS p, cos(a) * (event_id % 97) - sin(a) * value AS q FROM events e JOIN t ON e.user_id = t.user_id)
+SELECT user_id, round(CASE WHEN max(p) - min(p) < 1e-5 OR max(q) - min(q) < 1e-5 THEN 0 ELSE (max(p) - min(p)) * (max(q) - min(q)) END, 4) AS area FROM r GROUP BY user_id
+""")
+def oriented_area(spark, sf_dir):
+    """Area of the box along the principal axes of each user's points."""
+    rows = table(spark, sf_dir, "events", "user_id", "value", "event_id").select("user_id", F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
+    return rigid.box_area(rows, ["user_id"], "x", "y").select("user_id", F.round("area", 4).alias("area"))
+
+
+@query("""
+SELECT user_id, list_reduce(list(CAST(floor(value) AS DOUBLE) ORDER BY event_id), lambda a, x: round(a * 0.8 + x * 0.2)) AS colour FROM events GROUP BY user_id
+""")
+def colour_fold(spark, sf_dir):
+    """Colours blended in order of arrival."""
+    rows = table(spark, sf_dir, "events", "user_id", "event_id", "value").withColumn("c", F.floor("value"))
+    return voxels.blend_colours(rows, ["user_id"], "event_id", "c")
+
+
+@query("""
+SELECT count(CASE WHEN value > 50 THEN 1 END) AS detected, count(CASE WHEN value > 50 AND event_type = 'purchase' THEN 1 END) AS correct, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS possible,
+       correct / nullif(detected, 0) AS precision, detected / nullif(possible, 0) AS recall FROM events
+""")
+def precision_recall(spark, sf_dir):
+    """Precision and recall of detected events."""
+    rows = table(spark, sf_dir, "events", "value", "event_type").select((F.col("value") > 50).alias("detected"), ((F.col("value") > 50) & (F.col("event_type") == "purchase")).alias("correct"), (F.col("event_type") == "purchase").alias("possible"))
+    return verify.precision_recall(rows)
+
+
+@query("""
+SELECT round(sqrt(avg(pow(o_totalprice / 1000 - l.x, 2) + pow(o_custkey - l.y, 2))), 6) AS rmse, count(*) AS frames
+FROM orders JOIN (SELECT l_orderkey, l_extendedprice / 100 AS x, l_partkey AS y FROM lineitem WHERE l_linenumber = 1) l ON o_orderkey = l_orderkey
+""")
+def trajectory_rmse(spark, sf_dir):
+    """Error between two trajectories over their common frames."""
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") / 1000).alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    b = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("idx"), (F.col("l_extendedprice") / 100).alias("x"), F.col("l_partkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return trajectory.trajectory_error(a, b).select(F.round("rmse", 6).alias("rmse"), "frames")
+
+
+@query("""
+SELECT event_type AS stage, round(avg(CASE WHEN user_id % 3 = 0 THEN value END), 6) AS f0, round(avg(CASE WHEN user_id % 3 = 1 THEN value END), 6) AS f1, round(avg(CASE WHEN user_id % 3 = 2 THEN value END), 6) AS f2 FROM events GROUP BY event_type
+""")
+def timing_table(spark, sf_dir):
+    """Mean time of each stage, one column a frame."""
+    means = table(spark, sf_dir, "events", "event_type", "user_id", "value").groupBy(F.col("event_type").alias("stage"), (F.col("user_id") % 3).alias("frame")).agg(F.avg("value").alias("ms"))
+    wide = sinks.timing_table(means, [0, 1, 2])
+    return wide.select("stage", *[F.round(F.col(str(i)), 6).alias(f"f{i}") for i in range(3)])
+
+
+@query("""
+WITH s AS (SELECT unnest(range(2000)) AS idx) SELECT s.idx, c.c_name, c.c_acctbal FROM s LEFT JOIN customer c ON c.c_custkey = s.idx
+""")
+def dense_frames(spark, sf_dir):
+    """Every frame number, with its frame where there is one."""
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal").withColumnRenamed("c_custkey", "idx")
+    return features.dense_frames(rows, 2000)
+
+
+@query("""
+WITH f AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'error'), a AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'error' AND value > 80 GROUP BY 1)
+SELECT f.k AS key, coalesce(a.n, 0) + 1 AS attempt FROM f LEFT JOIN a ON f.k = a.k WHERE coalesce(a.n, 0) + 1 <= 3
+""")
+def retry_list(spark, sf_dir):
+    """What is tried again, and for which time."""
+    bad = table(spark, sf_dir, "events", "user_id", "event_type", "value").filter("event_type = 'error'").withColumnRenamed("user_id", "key")
+    return online.retry(bad.select("key").distinct(), bad.filter("value > 80").select("key"), 3)
+
+
+@query("""
+SELECT i, j, count(*) AS n FROM (SELECT least(o_custkey % 50, o_orderkey % 50) AS i, greatest(o_custkey % 50, o_orderkey % 50) AS j FROM orders) WHERE i < j GROUP BY i, j HAVING count(*) > 10
+""")
+def overlapping_pairs(spark, sf_dir):
+    """Pairs of frames with more than ten common pixels."""
+    a, b = F.col("o_custkey") % 50, F.col("o_orderkey") % 50
+    links = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).filter("i < j").withColumn("good", F.lit(True))
+    return verify.overlapping_pairs(links.select("i", "j").distinct(), links).select("i", "j", F.col("hits").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
