@@ -369,7 +369,7 @@ def recalibrated_depth(spark, sf_dir):
 TURN = [0.36, 0.48, -0.8, 1.5, -0.8, 0.6, 0.0, -2.0, 0.48, 0.64, 0.6, 0.75]
 
 
-@query("SELECT l_returnflag, unnest(range(12)) AS cell, unnest([" + ", ".join(map(str, TURN)) + "]) AS value, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, unnest(range(12)) AS cell, unnest([" + ", ".join(map(str, TURN)) + "]::DOUBLE[]) AS value, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def rigid_fit(spark, sf_dir):
     """The rigid motion that points of each group went through, found again from the points."""
     rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_discount", "l_tax")
