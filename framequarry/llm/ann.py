@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .sampling import lowest_hash
-from .workspace import cut
+from .workspace import cut, split_join
 
 #: Vectors that the codes are learned on, at most; of them so many ask in the calibration of the radius.
 SAMPLE, ASK = 8192, 256
@@ -214,6 +214,6 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
     best = found.select("key", F.explode("found").alias("x")).select("key", "x.vec_id", "x.score")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     top = best.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    answered = rows.filter("asks").select(F.col("id").alias("query_id"), "key").join(top, "key")
+    answered = split_join(rows.filter("asks").select(F.col("id").alias("query_id"), "key"), top, "key")
     others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return answered.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -15,7 +15,7 @@ from . import textkernel
 from .sampling import lowest_hash
 
 #: Labelled documents that centroids are fitted on, at most; of them so many of one language.
-SAMPLE, PER_LANGUAGE = 4096, 1024
+SAMPLE, PER_LANGUAGE = 2048, 512
 DIMENSIONS, GRAMS, CENTROIDS = 4096, (2, 3), 4
 UNKNOWN = "und"
 

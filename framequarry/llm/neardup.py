@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel
 from .components import components
-from .workspace import cut, fresh
+from .workspace import cut, fresh, split_join
 
 #: Classes of one family that one task compares with each other, or with as many others.
-BLOCK = 2048
+BLOCK = 512
 _SETS = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("values", pa.list_(pa.int64()))])
 
 
@@ -178,6 +178,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.  Sets are held as 64-bit hashes of whole texts; classes
     as 128-bit digests.
     """
+    sketches, found = _classes(docs, id_col, text_col, width, percent, k, block)
+    return split_join(sketches, found, "key", "left").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("key").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
+    )
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, key) of every row, key null for empty sets; (key, component_id) of every class of equal sets."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     made = f"id {kind}, n long, key binary, values array<long>"
@@ -186,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kept = classes.select("key", F.explode("values").alias("value"))
     lists = kept.groupBy("value").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = kept.join(lists, "value").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared"))
+    shared = split_join(kept, lists, "value").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared"))
     bounds = spark_map({n: least_overlap(n, k, percent) for n in range(1, k + 1)})
     size = F.least("n", F.lit(k))
     follow = size - bounds[size.cast("int")] + 1 - (size - F.size("shared"))
@@ -195,11 +206,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "followed",
     )
     pivots = followed.groupBy("value").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    families = components(followed.join(pivots, "value").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
+    families = components(split_join(followed, pivots, "value").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
     members = cut(families.select("node", F.col("root").alias("family")).union(families.select("root", "root").distinct()), "members")
 
     blocks = F.ceil(F.col("m") / block).cast("int")
-    dealt = members.join(members.groupBy("family").agg(F.count("*").alias("m")), "family").select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    dealt = split_join(members, members.groupBy("family").agg(F.count("*").alias("m")), "family").select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
     named = dealt.join(classes.select(F.col("key").alias("node"), "id"), "node")
     wanted = slim.join(named.select("id").distinct(), slim["id"].eqNullSafe(named["id"]), "left_semi")
     sets = wanted.mapInArrow(_sets(width, None, "id", None), made).select(F.col("key").alias("node"), "values")
@@ -214,15 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = roots.union(roots.select("root", "root").distinct())
     smallest = classes.join(label, classes["key"] == label["node"]).groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = label.join(smallest, "root").select(F.col("node").alias("key"), "component_id")
+    linked = split_join(label, smallest, "root").select(F.col("node").alias("key"), "component_id")
     found = classes.select("key", "id").join(linked, "key", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
-    rows = sketches.select("id", "n", "key")
-    return rows.join(found, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("key").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    return sketches.select("id", "n", "key"), found
 
 
 def spark_map(values: dict[int, int]):
@@ -236,7 +241,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Repeated rows with one id stay together (they are told apart by nothing).
     Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).filter("kept")
+    settings = {"width": 5, "percent": 80, "k": 64, "block": BLOCK} | options
+    sketches, found = _classes(docs, id_col, text_col, **settings)
     flag = fresh(docs, "kept_id")
-    ids = found.select(F.col(id_col).alias(flag)).distinct()
+    ids = found.select("component_id").union(sketches.filter("key is null").select("id")).distinct().toDF(flag)
     return docs.join(ids, docs[id_col].eqNullSafe(ids[flag]), "left_semi")

@@ -21,7 +21,7 @@ from . import textkernel
 from .sampling import fit_logistic, fold, lowest_hash, sigmoid
 from .workspace import cut
 
-#: Labelled documents of each class that serve as examples or for calibration, at most.
+#: Labelled documents of each class that serve as examples, at most.
 EXAMPLES = 2048
 #: Terms that span the vectors, at most, and the least chi-squared statistic of one.
 TERMS, LEAST_CHI = 512, 30.0
@@ -185,8 +185,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     """id, held_out, score, predicted and evidence (the nearest examples: id, label, cosine) of every row of ``docs``.
 
     Labels come only from ids outside fold ``held`` of five (crc32 of the id as
-    text); of each class at most ``examples`` ids, those that hash lowest.  Fold
-    ``held + 1`` calibrates, the other three are the examples.
+    text); of each class at most ``examples`` ids, those that hash lowest.  The
+    votes are calibrated on the examples, each without itself.
 
     Defined cases: null and empty texts have no terms and get the calibrated rate
     of texts without neighbours; rows without id are held out; several labels of
@@ -199,11 +199,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     known = known.filter(fold(F.col("id")) != held)
     chosen = cut(lowest_hash(known.filter("label = 1"), examples).union(lowest_hash(known.filter("label = 0"), examples)), "labelled")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text", (fold(F.col("id")) == (held + 1) % 5).alias("calibrates"))
+    texts = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
     texts = cut(texts, "examples")
-    size = {(r["label"], r["calibrates"]): r["count"] for r in texts.groupBy("label", "calibrates").count().collect()}
-    n1, n0 = size.get((1, False), 0), size.get((0, False), 0)
-    terms = texts.filter("not calibrates").select("label", "text").mapInArrow(_distinct, "label int, term long")
+    size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    terms = texts.mapInArrow(_distinct, "label int, term long")
     counts = terms.groupBy("term").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
     vocabulary = _chosen(counts.filter("ones + zeros >= 3"), n1, n0) if n1 and n0 else np.zeros(0, np.uint64)
 
@@ -213,7 +213,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     held_by = {r["feature"]: r["held"] for r in partial.groupBy("feature").agg(F.sum("held").alias("held")).collect()}
     n = held_by.pop(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + held_by.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
-    sample = hits.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).withColumn("calibrates", fold(F.col("id")) == (held + 1) % 5).orderBy("id").toArrow()
+    sample = hits.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
     model = _fit(sample, vocabulary, idf)
     schema = f"id {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>"
     scored = hits.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema)
@@ -222,19 +222,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
 
 def _fit(sample: pa.Table, vocabulary: np.ndarray, idf: np.ndarray) -> Model:
     ids, label = np.array(sample.column("id").to_pylist()), np.array(sample.column("label").to_pylist(), float)
-    calibrates = np.array(sample.column("calibrates").to_pylist(), bool)
     joined = lambda c: sample.column(c).combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     x = vectors(joined("features"), joined("counts"), idf)
-    examples = ~calibrates
-    index = Index.of(ids[examples], label[examples].astype(int), x[examples]) if len(ids) else Index(np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(idf))), np.zeros((0, len(idf))))
-    model = Model(vocabulary, idf, index, np.array([1.0, 0.0, 0.0]))
-    check = calibrates if len(set(label[calibrates].tolist())) == 2 else np.ones(len(ids), bool)
+    index = Index.of(ids, label.astype(int), x) if len(ids) else Index(np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(idf))), np.zeros((0, len(idf))))
     if len(set(label.tolist())) < 2:
         rate = (label.sum() + 1) / (len(label) + 2)
         return Model(vocabulary, idf, index, np.array([0.0, 0.0, np.log(rate / (1 - rate))]))
-    _, inputs, _ = model.votes(x[check], own=ids[check])
-    beta = fit_logistic(inputs, label[check], ridge=0.5)
-    return Model(vocabulary, idf, index, beta)
+    _, inputs, _ = Model(vocabulary, idf, index, np.zeros(3)).votes(x, own=ids)
+    return Model(vocabulary, idf, index, fit_logistic(inputs, label, ridge=0.5))
 
 
 def _scored(model):

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 
+from .workspace import split_join
+
 #: Column -> header.
 HEADERS = {
     "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date",
@@ -352,9 +354,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= shortest
-    twice = rows.filter(long).groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "winner")
+    twice = rows.filter(long).groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).filter("n > 1").select("digest", "winner")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
-    joined = rows.join(twice, (rows["digest"] == twice["same"]) & long, "left")
-    refers = F.when(F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner")), urn(F.col("winner")))
+    joined = split_join(rows, twice, "digest", "left")
+    refers = F.when(F.col("winner").isNotNull() & long & ~F.col("id").eqNullSafe(F.col("winner")), urn(F.col("winner")))
     records = joined.select(urn(F.col("id")).alias("id"), F.coalesce("uri", urn(F.col("id"))).alias("uri"), F.when(refers.isNull(), F.col("payload")).otherwise(F.lit("").cast("binary")).alias("payload"), "digest", refers.alias("refers"), F.octet_length("payload").alias("size"))
     return records.mapInArrow(_write(path, date, level), "file string, records long, bytes long").collect()

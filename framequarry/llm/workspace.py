@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -48,3 +49,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """An equi-join on ``key`` whose hot keys Spark can split, where a side is an aggregate by the same key.
+
+    Spark splits a skewed partition only where both sides are shuffled for the
+    join itself; an aggregate's own shuffle is not.  A second, derived key makes
+    it shuffle the (small) aggregate once more.
+    """
+    also = fresh(left, "split_key")
+    derived = F.xxhash64(F.col(key))
+    return left.withColumn(also, derived).join(right.withColumn(also, derived), [key, also], how).drop(also)
