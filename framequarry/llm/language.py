@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,8 +144,9 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fit(counts[order].astype(np.float32), [langs[i] for i in order])
 
 
-def _has_letter(texts: pa.Array, rows: np.ndarray) -> np.ndarray:
-    return np.array([any(c.isalpha() for c in texts[int(i)].as_py() or "") for i in rows], bool)
+def _has_letter(texts: pa.Array) -> np.ndarray:
+    """Whether each whole text has a letter of any script; null has none."""
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
 def _predict(model, names: list[str]):
@@ -153,6 +155,7 @@ def _predict(model, names: list[str]):
         languages = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
+            letters = _has_letter(texts)
             at = 0
             for counts in term_counts(texts):
                 n = len(counts)
@@ -160,9 +163,7 @@ def _predict(model, names: list[str]):
                     lang, score, cosine, far = m.predict(counts)
                 else:
                     lang, score, cosine, far = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool)
-                some = counts.any(1)
-                doubt = np.flatnonzero(counts.sum(1) < 64)
-                some[doubt] = _has_letter(texts, doubt + at)
+                some = letters[at : at + n]
                 lang = np.where(some, lang, len(m.languages))
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(languages[lang], pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, cosine, 0.0)), pa.array(far | ~some)], names=names)

@@ -39,6 +39,13 @@ def test_languages(documents, nothing):
     assert {r.lang_pred for r in bare.collect()} == {"und"} and bare.count() == documents.count()
 
 
+def test_texts_without_letters_are_unknown(spark, documents):
+    model = train_languages(documents.filter("doc_id is not null and doc_id < 100"))
+    rows = [(1, "3 141 592 653 " * 50), (2, "— … 🙂 " * 50), (3, "3 141 592 653 " * 50 + "π"), (4, "語"), (5, None), (6, "_" * 300 + "a")]
+    out = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {i for i, lang in out.items() if lang == "und"} == {1, 2, 5}
+
+
 def test_fold_is_the_checksum(spark):
     rows = spark.range(50).select("id", fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
