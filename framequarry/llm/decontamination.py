@@ -1,11 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are reduced to their lower-cased letters and digits.
-An item is searched in segments.  If a region of a document is within ``k`` edits
-of a segment of length n, the two share at least ``n - q + 1 - q * k`` q-grams
-whose diagonals (document position minus segment position) differ by at most
-``k``.  Counting shared q-grams in overlapping diagonal bands therefore keeps
-every such region; a banded alignment then decides.
+The passage that counts is any run of n = ``least`` characters of an item (the
+whole item if it is shorter).  A region holds it if it is the passage after at
+most ``k`` edits and the replacement of one run of at most ``w`` characters (a
+word) by another such run.  The edits spoil at most q * k q-grams and the run
+w + q - 1, so region and passage share ``n - 2 * q + 2 - w - q * k`` q-grams whose
+diagonals (document position minus item position) differ by at most ``k + w``.
+Counting the q-grams shared with each passage in overlapping diagonal bands
+therefore keeps every such region; an alignment then decides.
 """
 
 from __future__ import annotations
@@ -33,16 +36,21 @@ MATCH = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """q-gram length; longest segment; shortest item searched; one edit allowed for every ``per_edit`` characters."""
+    """q-gram length; least passage; shortest item searched; one edit allowed for every ``per_edit`` characters; longest run that may be replaced."""
 
-    q: int = 12
-    segment: int = 120
+    q: int = 8
+    least: int = 56
     shortest: int = 20
     per_edit: int = 30
+    word: int = 20
 
     def budget(self, n: int) -> int:
         return n // self.per_edit
 
+    def run(self, n: int) -> int:
+        """Longest replaced run in a passage of n characters: of short ones less, so that a q-gram is left."""
+        return max(0, min(self.word, n * 5 // 14, n - 2 * self.q + 1 - self.q * self.budget(n)))
+
 
 _kept: list[np.ndarray] = []
 
@@ -81,7 +89,7 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """Segments of one slice of the benchmark and their q-grams."""
+    """Items of one slice of the benchmark and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
         self.rule, self.segments = rule, []
@@ -90,29 +98,33 @@ class Index:
             codes, _ = normalise(text or "")
             if len(codes) < rule.shortest:
                 continue
-            starts = [*range(0, max(1, len(codes) - rule.segment), rule.segment // 2), max(0, len(codes) - rule.segment)]
-            for start in dict.fromkeys(starts):
-                piece = codes[start : start + rule.segment]
-                grams = qgrams(piece, rule.q)
-                owners.append(np.full(len(grams), len(self.segments), np.int32))
-                places.append(np.arange(len(grams), dtype=np.int32))
-                hashes.append(grams)
-                self.segments.append((item, piece))
+            grams = qgrams(codes, rule.q)
+            owners.append(np.full(len(grams), len(self.segments), np.int32))
+            places.append(np.arange(len(grams), dtype=np.int32))
+            hashes.append(grams)
+            self.segments.append((item, codes))
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         hashes, owners, places = join(hashes, np.uint64), join(owners, np.int32), join(places, np.int32)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
-        self.least = min((self.needed(len(s)) for _, s in self.segments), default=1)
-        self.reach = max((len(s) + 2 * rule.budget(len(s)) for _, s in self.segments), default=1)
+        self.passage = np.array([min(rule.least, len(s)) for _, s in self.segments], np.int64)
+        self.need = np.array([self.needed(n) for n in self.passage.tolist()], np.int64)
+        self.slack = np.array([rule.budget(n) + rule.run(n) for n in self.passage.tolist()], np.int64)
+        self.least = int(self.need.min()) if len(self.need) else 1
+        self.reach = int((self.passage + self.slack).max()) if len(self.need) else 1
 
     def needed(self, n: int) -> int:
-        """Shared q-grams of a segment of length n and a region within its budget."""
-        return max(1, n - self.rule.q + 1 - self.rule.q * self.rule.budget(n))
+        """Shared q-grams of a passage of length n and a region that holds it."""
+        return max(1, n - 2 * self.rule.q + 2 - self.rule.run(n) - self.rule.q * self.rule.budget(n))
 
     def regions(self, codes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, start, end, edits) for documents [bounds[i], bounds[i+1]) of ``codes``, in its positions."""
+        """(document, item, start, end, edits) for documents [bounds[i], bounds[i+1]) of ``codes``, in its positions.
+
+        Every item of which a document holds a passage is reported; of its regions
+        that begin within half a passage of each other, one.
+        """
         grams = qgrams(codes, self.rule.q)
         if not len(grams) or not len(self.hashes):
             return []
@@ -137,40 +149,127 @@ class Index:
         document = np.searchsorted(bounds, at, "right") - 1
         inside = at + self.rule.q <= bounds[document + 1]
         at, entry, document = at[inside], entry[inside], document[inside]
-        owner = self.owners[entry]
-        width = np.array([self.rule.budget(len(s)) + 1 for _, s in self.segments])[owner]
-        diagonal = at - self.places[entry]
-        groups: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        band = diagonal // width
+        owner, place = self.owners[entry].astype(np.int64), self.places[entry].astype(np.int64)
+        diagonal = at - place
+        band = diagonal // (self.slack[owner] + 1)
         # bands are two widths wide and overlap by one: a hit lies in two of them
-        order = np.lexsort((diagonal, owner, document))
-        need = np.array([self.needed(len(s)) for _, s in self.segments])
-        keys = np.stack([document[order], owner[order], band[order]], 1)
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, int)
-        for a, b in zip(first, [*first[1:], len(keys)]):
-            d, o, x = keys[a].tolist()
-            for y in (x - 1, x):
-                groups[d, o, y].append((a, b))
-        out, taken = [], set()
-        for (d, o, y), runs in groups.items():
-            if sum(b - a for a, b in runs) < need[o]:
-                continue
-            rows = order[np.concatenate([np.arange(a, b) for a, b in runs])]
-            if len(np.unique(self.places[entry[rows]])) < need[o]:
-                continue
-            item, piece = self.segments[o]
-            k = self.rule.budget(len(piece))
-            low = int(diagonal[rows].min())
-            if (d, o, low // (k + 1)) in taken:
-                continue
-            start, end = max(int(bounds[d]), low - k), min(int(bounds[d + 1]), low + len(piece) + 2 * (k + 1) + k)
-            found = align(piece, codes[start:end], k)
-            if found is not None:
-                taken.add((d, o, low // (k + 1)))
-                out.append((d, item, start + found[0], start + found[1], found[2]))
+        if not len(band):
+            return []
+        band -= band.min() - 1
+        most = int(band.max()) + 1
+        key = (document * len(self.segments) + owner) * most + band
+        # bands with fewer hits than their passage needs are dropped before the hits are sorted by place
+        key, place = np.concatenate([key - 1, key]), np.tile(place, 2)
+        lowest = np.tile(diagonal // (self.slack[owner] + 1) - band, 2)
+        order = np.argsort(key, kind="stable")
+        key, place, lowest = key[order], place[order], lowest[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        size = np.diff(np.append(first, len(key)))
+        enough = np.repeat(size >= self.need[key[first] // most % len(self.segments)], size)
+        key, place, lowest = key[enough], place[enough], lowest[enough]
+        order = np.lexsort((place, key))
+        key, place, lowest = key[order], place[order], lowest[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) if len(key) else np.zeros(0, bool)
+        key, lowest = key[new], lowest[new]
+        rows = np.stack([key // most // len(self.segments), key // most % len(self.segments), key % most + lowest, place[new]], 1)
+        if not len(rows):
+            return []
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        place, need, gram_span = rows[:, 3], self.need[rows[:, 1]], self.passage[rows[:, 1]] - self.rule.q
+        last = np.arange(len(rows)) + need - 1
+        there = np.minimum(last, len(rows) - 1)
+        full = np.flatnonzero((last < len(rows)) & (group[there] == group) & (place[there] - place <= gram_span))
+        out, taken = [], defaultdict(list)
+        for part in np.split(full, np.flatnonzero(np.diff(group[full])) + 1) if len(full) else []:
+            d, o, y = rows[part[0], :3].tolist()
+            item, text = self.segments[o]
+            n, slack = int(self.passage[o]), int(self.slack[o])
+            # passages that hold the needed q-grams: from the last place minus the span to the first place
+            starts = np.zeros(len(text) - n + 2, np.int64)
+            np.add.at(starts, np.maximum(0, place[there[part]] - int(gram_span[part[0]])), 1)
+            np.add.at(starts, np.minimum(place[part], len(text) - n) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(starts) > 0)
+            low = y * (slack + 1)
+            high = low + 2 * (slack + 1) - 1
+            known, size = taken[d, o], 1
+            while len(starts):
+                near = [s for s in starts[:size].tolist() if not any(low - n // 2 < r - s < high + n // 2 for r in known)]
+                skip = starts[:size][-1] + 1
+                if near:
+                    begin, end = max(int(bounds[d]), low + near[0] - slack), min(int(bounds[d + 1]), high + near[-1] + n + slack)
+                    found = hold(np.stack([text[s : s + n] for s in near]), codes[begin:end], self.rule.budget(n), self.rule.run(n)) if end > begin else None
+                    if found is not None:
+                        known.append(begin + found[1])
+                        out.append((d, item, begin + found[1], begin + found[2], found[3]))
+                        skip = near[found[0]] + max(1, n // 2)
+                        size = 1
+                    else:
+                        size = max(1, n // 2)
+                starts = starts[starts >= skip]
         return out
 
 
+def _costs(pieces: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """[w, i, j]: fewest edits from the first i characters of piece w to a run of ``text`` that ends at j."""
+    count, n = pieces.shape
+    columns = np.arange(len(text) + 1, dtype=np.int16)
+    out = np.zeros((count, n + 1, len(text) + 1), np.int16)
+    for i in range(1, n + 1):
+        best = out[:, i - 1] + np.int16(1)
+        best[:, 1:] = np.minimum(best[:, 1:], out[:, i - 1, :-1] + (text[None, :] != pieces[:, i - 1, None]))
+        out[:, i] = np.minimum.accumulate(best - columns, axis=1) + columns
+    return out
+
+
+def _start(cost: np.ndarray, piece: np.ndarray, text: np.ndarray, i: int, j: int) -> int:
+    """Where the run of ``text`` begins that gave cost[i, j]."""
+    while i:
+        if j and cost[i, j] == cost[i - 1, j - 1] + (piece[i - 1] != text[j - 1]):
+            i, j = i - 1, j - 1
+        elif cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return j
+
+
+def hold(pieces: np.ndarray, text: np.ndarray, k: int, run: int) -> tuple[int, int, int, int] | None:
+    """(number, start, end, edits) of the first piece that ``text`` holds after k edits and one replaced run of at most ``run``, or None.
+
+    ``edits`` counts a replaced run as its longer side.
+    """
+    n, m = pieces.shape[1], len(text)
+    if m >= n and len(pieces) == 1:
+        same = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(text, n) == pieces[0]).all(1))
+        if len(same):
+            return 0, int(same[0]), int(same[0]) + n, 0
+    ahead = _costs(pieces, text)
+    fine = np.flatnonzero(ahead[:, n].min(1) <= k)
+    if len(fine):
+        w = int(fine[0])
+        end = int(ahead[w, n].argmin())
+        return w, _start(ahead[w], pieces[w], text, n, end), end, int(ahead[w, n, end])
+    # a replaced run is at most `run` edits
+    maybe = np.flatnonzero(ahead[:, n].min(1) <= k + run)
+    if not len(maybe):
+        return None
+    ahead, pieces = ahead[maybe], pieces[maybe]
+    back = _costs(pieces[:, ::-1], text[::-1])[:, ::-1, ::-1]
+    rest = np.pad(back, ((0, 0), (0, run), (0, run)), constant_values=np.iinfo(np.int16).max // 2)
+    rest = np.lib.stride_tricks.sliding_window_view(rest, run + 1, axis=1).min(-1)
+    rest = np.lib.stride_tricks.sliding_window_view(rest, run + 1, axis=2).min(-1)
+    total = ahead + rest
+    fine = np.flatnonzero(total.min((1, 2)) <= k)
+    if not len(fine):
+        return None
+    w = int(fine[0])
+    i, j = (int(x) for x in np.unravel_index(total[w].argmin(), total[w].shape))
+    corner = back[w, i : i + run + 1, j : j + run + 1]
+    a, b = (int(x) for x in np.unravel_index(corner.argmin(), corner.shape))
+    end = m - _start(back[w, ::-1, ::-1], pieces[w, ::-1], text[::-1], n - i - a, m - j - b)
+    return int(maybe[w]), _start(ahead[w], pieces[w], text, i, j), end, int(total[w, i, j]) + max(a, b)
+
+
 def align(piece: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best region of ``text`` within ``k`` edits of ``piece``, or None.
 
@@ -237,7 +336,7 @@ def _scan(index, text_at: int, name: str):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rule: Rule = Rule(), matches_col: str = "matches") -> DataFrame:
-    """``docs`` with an array of (item_id, start, end, edits) for regions near a benchmark segment.
+    """``docs`` with an array of (item_id, start, end, edits) for regions that hold a passage of a benchmark item (``Rule``).
 
     The benchmark is read in slices of about SLICE characters; each slice is
     broadcast for one pass over the documents, so any number of items is searched
@@ -267,6 +366,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold a region near a benchmark segment."""
+    """``docs`` without the rows that hold a passage of a benchmark item."""
     name = fresh(docs, "matches")
     return find_contamination(docs, benchmark, matches_col=name, **options).filter(F.size(name) == 0).drop(name)
