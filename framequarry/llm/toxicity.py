@@ -161,12 +161,14 @@ class Model:
     idf: np.ndarray
     index: Index
     beta: np.ndarray  # of the vote's log odds and the presence of neighbours, and the intercept
+    weight: tuple[float, float] = (1.0, 1.0)  # training labels of class 0 and 1 for each that is taken
 
     def votes(self, x: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distance-weighted vote for toxic, its inputs for calibration, and the neighbours."""
         best, score = self.index.nearest(x, own=own)
         weight = np.where(best >= 0, score / (1.05 - np.minimum(score, 1)), 0.0)
         toxic = np.where(best >= 0, self.index.labels[best] if len(self.index.labels) else 0, 0)
+        weight = weight * np.array(self.weight)[toxic]
         total = weight.sum(1)
         share = ((weight * toxic).sum(1) + 0.05) / (total + 0.1)
         return share, np.column_stack([np.log(share / (1 - share)), (total > 0).astype(float)]), best
@@ -186,7 +188,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
 
     Labels come only from ids outside fold ``held`` of five (crc32 of the id as
     text); of each class at most ``examples`` ids, those that hash lowest.  The
-    votes are calibrated on the examples, each without itself.
+    votes are calibrated on the examples, each without itself.  Examples count in
+    votes and calibration for all training labels of their class, so the real ratio
+    of the classes holds where ``examples`` binds.
 
     Defined cases: null and empty texts have no terms and get the calibrated rate
     of texts without neighbours; rows without id are held out; several labels of
@@ -199,6 +203,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     known = known.filter(fold(F.col("id")) != held)
     chosen = cut(lowest_hash(known.filter("label = 1"), examples).union(lowest_hash(known.filter("label = 0"), examples)), "labelled")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    many = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    weight = tuple(max(1.0, many.get(c, 0) / max(1, examples)) for c in (0, 1))
     texts = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
     texts = cut(texts, "examples")
     size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
@@ -214,13 +220,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     n = held_by.pop(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + held_by.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
     sample = hits.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
-    model = _fit(sample, vocabulary, idf)
+    model = _fit(sample, vocabulary, idf, weight)
     schema = f"id {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>"
     scored = hits.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema)
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id")) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def _fit(sample: pa.Table, vocabulary: np.ndarray, idf: np.ndarray) -> Model:
+def _fit(sample: pa.Table, vocabulary: np.ndarray, idf: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
     ids, label = np.array(sample.column("id").to_pylist()), np.array(sample.column("label").to_pylist(), float)
     joined = lambda c: sample.column(c).combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     x = vectors(joined("features"), joined("counts"), idf)
@@ -228,8 +234,8 @@ def _fit(sample: pa.Table, vocabulary: np.ndarray, idf: np.ndarray) -> Model:
     if len(set(label.tolist())) < 2:
         rate = (label.sum() + 1) / (len(label) + 2)
         return Model(vocabulary, idf, index, np.array([0.0, 0.0, np.log(rate / (1 - rate))]))
-    _, inputs, _ = Model(vocabulary, idf, index, np.zeros(3)).votes(x, own=ids)
-    return Model(vocabulary, idf, index, fit_logistic(inputs, label, ridge=0.5))
+    _, inputs, _ = Model(vocabulary, idf, index, np.zeros(3), weight).votes(x, own=ids)
+    return Model(vocabulary, idf, index, fit_logistic(inputs, label, np.array(weight)[label.astype(int)], ridge=0.5), weight)
 
 
 def _scored(model):
