@@ -80,16 +80,17 @@ def _hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[
     return words, np.diff(np.searchsorted(starts, bounds))
 
 
-def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """Yield (first row, folded bytes, bounds of its rows, whether the last row is complete), in order.
 
     A row longer than PIECE comes alone, in several pieces cut after a byte of
-    ``between``; only its last piece is complete.
+    ``between``; only its last piece is complete.  ``most`` bounds the rows of a piece.
     """
     data, offsets = buffers(texts)
     rows, at = len(offsets) - 1, 0
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        to = min(to, at + most) if most else to
         lo, hi = int(offsets[at]), int(offsets[to])
         while True:
             end = hi

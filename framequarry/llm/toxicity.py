@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are whole words and byte 5-grams inside words.  Those that labels of the
-examples depend on (chi-squared test) span the vectors; all documents count for
-their document frequencies.  Neighbours are found exactly with an inverted index
-whose lists keep the largest weight of each block of examples: blocks are visited
-by their upper bound and skipped once it is below the k-th best cosine.
+Terms are the byte 4-grams inside words (a word's ends count as a space).  Every
+term of every example is in the vocabulary, and all documents count for its
+document frequency.  The examples stand in blocks of an inverted index: a block
+holds, for each of its terms, the postings (example, weight) and their largest
+weight.  A query visits only blocks whose summed maxima reach its k-th best
+cosine, so the neighbours are exact.
 """
 
 from __future__ import annotations
@@ -14,244 +15,321 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
+from .language import cluster
 from .sampling import fit_logistic, fold, lowest_hash, sigmoid
 from .workspace import cut
 
-#: Labelled documents of each class that serve as examples, at most.
+#: Labelled documents of each class that serve as examples, and that calibrate, at most.
 EXAMPLES = 2048
-#: Terms that span the vectors, at most, and the least chi-squared statistic of one.
-TERMS, LEAST_CHI = 512, 30.0
-GRAM, BLOCK, NEIGHBOURS = 5, 64, 15
-
-
-def term_hashes(texts: pa.Array) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
-    """(first row, rows, complete, row of each term, its hash) of whole texts, A-Z folded; a long row may come in several parts."""
-    for at, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER):
+GRAM, BLOCK, NEIGHBOURS = 4, 64, 200
+#: The vote is taken among so many of the nearest.
+VOTES = (15, 50, 200)
+#: Texts that are turned into vectors at a time.
+ROWS = 256
+#: Terms whose postings are kept as full rows of a block (the most frequent ones); all others are lists.
+FULL = 2048
+
+
+class Vocabulary:
+    """Hashes of terms -> their numbers."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.hashes, self.shift = np.sort(hashes), np.uint64(64 - bits)
+        place = (self.hashes >> self.shift).astype(np.int64)
+        self.slots = np.full((1 << bits) + 1, -1, np.int32)
+        self.slots[place] = np.arange(len(place))
+        self.slots[place[1:][place[1:] == place[:-1]]] = -2  # several terms: search
+
+    def numbers(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of known terms, their numbers)."""
+        found = self.slots[(terms >> self.shift).astype(np.int64)]
+        several = np.flatnonzero(found == -2)
+        if len(several):
+            found[several] = np.minimum(np.searchsorted(self.hashes, terms[several]), len(self.hashes) - 1)
+        at = np.flatnonzero(found >= 0)
+        at = at[self.hashes[found[at]] == terms[at]]
+        return at, found[at].astype(np.int64)
+
+
+def grams(texts: pa.Array, rows: int = ROWS) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
+    """(first row, rows, complete, row of each term, its hash) of whole texts, A-Z folded; a long row comes in several parts."""
+    for at, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, rows):
         text, row = textkernel.spaced(data, bounds, textkernel.NOT_ALNUM)
-        position, grams = textkernel.byte_grams(text, GRAM)
-        found, counts = textkernel._hashes(data, bounds, textkernel.NOT_ALNUM)
-        yield at, len(bounds) - 1, whole, np.concatenate([row[position], np.repeat(np.arange(len(counts)), counts)]), np.concatenate([grams, textkernel.mix(found, 9)])
+        position, hashes = textkernel.byte_grams(text, GRAM)
+        yield at, len(bounds) - 1, whole, row[position], hashes
+
+
+def counted(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, bounds of its rows, term numbers, their counts) for runs of at most ROWS whole texts, in order."""
+    size = max(1, len(vocabulary.hashes))
+    carry: tuple[np.ndarray, np.ndarray] | None = None
+    for at, rows, whole, row, hashes in grams(texts):
+        place, number = vocabulary.numbers(hashes) if len(vocabulary.hashes) else (np.zeros(0, int), np.zeros(0, int))
+        key, count = np.unique(row[place] * size + number, return_counts=True)
+        if carry is not None:
+            key, back = np.unique(np.concatenate([carry[0], key]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([carry[1], count]), len(key)).astype(np.int64)
+        carry = None if whole else (key, count)
+        if whole:
+            yield at, np.searchsorted(key, np.arange(rows + 1) * size), key % size, count
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> the distinct terms of each run of them."""
+    for batch in batches:
+        for _, _, _, _, hashes in grams(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["term"])
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (label, term) for each distinct term of each text."""
-    for batch in batches:
-        labels = batch.column(0).to_numpy()
-        left: list[np.ndarray] = []
-        for at, rows, whole, row, terms in term_hashes(batch.column(1)):
-            order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(rows + 1))
-            for i in range(rows):
-                mine = np.unique(terms[order[ends[i] : ends[i + 1]]])
-                if not whole:
-                    left.append(mine)
-                    continue
-                if left:
-                    mine = np.unique(np.concatenate([*left, mine]))
-                    left = []
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), labels[at + i], np.int32)), pa.array(mine.view(np.int64))], names=["label", "term"])
-
-
-def _hits(vocabulary, columns: int):
-    """Batches of ``columns`` columns and a text -> the columns, feature numbers and their counts."""
+def _counts(vocabulary):
+    """(id, label, role, text) -> id, label, role and the text's terms and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        order = np.argsort(known)
-        ordered = known[order]
-        table = np.zeros(1 << 16, bool)
-        table[ordered >> np.uint64(48)] = True
         for batch in batches:
-            n = batch.num_rows
-            rows, features = [], []
-            for at, _, _, row, terms in term_hashes(batch.column(columns)):
-                maybe = np.flatnonzero(table[terms >> np.uint64(48)]) if len(known) else np.zeros(0, int)
-                place = np.minimum(np.searchsorted(ordered, terms[maybe]), max(0, len(known) - 1))
-                hit = ordered[place] == terms[maybe] if len(known) else np.zeros(0, bool)
-                rows.append(row[maybe[hit]] + at)
-                features.append(order[place[hit]])
-            key, count = np.unique(np.concatenate(rows) * max(1, len(known)) + np.concatenate(features), return_counts=True) if rows else (np.zeros(0, int), np.zeros(0, int))
-            ends = np.searchsorted(key, np.arange(n + 1) * max(1, len(known))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % max(1, len(known)), count)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *lists], names=[*batch.schema.names[:columns], "features", "counts"])
+            for at, bounds, terms, counts in counted(batch.column(3), vocabulary.value):
+                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (terms, counts)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(bounds) - 1) for c in range(3)], *lists], names=["id", "label", "calibrates", "terms", "counts"])
 
     return run
 
 
-def _frequencies(terms: int):
-    """Batches of feature lists -> for each partition how many texts have each feature, and (feature -1) how many texts there are."""
+def _frequencies(vocabulary):
+    """Texts -> for each partition how many of them have each term, and (term -1) how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(terms, np.int64), 0
+        v: Vocabulary = vocabulary.value
+        held, n = np.zeros(len(v.hashes), np.int64), 0
         for batch in batches:
-            held += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
             n += batch.num_rows
+            for _, _, terms, _ in counted(batch.column(0), v):
+                held += np.bincount(terms, minlength=len(held))
         some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(held[some], n))], names=["feature", "held"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(held[some], n))], names=["term", "held"])
 
     return run
 
 
-def vectors(features: pa.Array, counts: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows (zero where a text has no feature)."""
-    out = np.zeros((len(features), len(idf)))
-    if len(features) and len(idf):
-        rows = np.repeat(np.arange(len(features)), np.diff(features.offsets.to_numpy()))
-        which = features.flatten().to_numpy()
-        out[rows, which] = (1 + np.log(counts.flatten().to_numpy())) * idf[which]
-        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-    return out
-
-
 @dataclass(frozen=True)
-class Index:
-    """Examples in blocks; ``bounds[b, t]`` is the largest weight of term t in block b."""
+class Rows:
+    """Sparse unit vectors: row i has ``terms[bounds[i]:bounds[i + 1]]`` with those ``weights``."""
 
-    ids: np.ndarray
-    labels: np.ndarray
-    rows: np.ndarray
     bounds: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
 
     @classmethod
-    def of(cls, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> Index:
-        """Examples with any term, ordered so that those of one block have their heaviest term in common."""
-        some = np.flatnonzero(rows.any(1))
-        some = some[np.lexsort((ids[some], rows[some].argmax(1)))] if len(some) else some
-        rows = rows[some]
-        blocks = -(-len(rows) // BLOCK)
-        return cls(ids[some], labels[some], rows, np.stack([rows[b * BLOCK : (b + 1) * BLOCK].max(0) for b in range(blocks)]) if blocks else np.zeros((0, rows.shape[1])))
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the k examples of largest positive cosine (position, or -1) and the cosines; ties to the smaller id.
-
-        ``own``: for each query the id of an example that is left out.
-        """
-        n = len(queries)
-        best, score = np.full((n, k), -1, np.int64), np.zeros((n, k))
-        if not n or not len(self.rows):
-            return best, score
-        upper = queries @ self.bounds.T
-        visit = np.argsort(-upper, axis=1, kind="stable")
-        upper = np.take_along_axis(upper, visit, 1)
-        for r in range(upper.shape[1]):
-            active = np.flatnonzero((upper[:, r] > 0) & (upper[:, r] >= score[:, -1] - 1e-12))
+    def of(cls, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Rows:
+        """TF-IDF: 1 + log of the count, times the term's idf; length one (a text without terms stays zero)."""
+        w = (1 + np.log(counts)) * idf[terms]
+        total = np.concatenate([[0.0], np.cumsum(w * w)])
+        norm = np.sqrt(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 1e-24))
+        return cls(bounds, terms, w / np.repeat(norm, np.diff(bounds)))
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
+
+    def dense(self, column: np.ndarray, width: int) -> np.ndarray:
+        """The columns that ``column`` (number by term, -1: none) gives, as a matrix."""
+        out = np.zeros((len(self), width))
+        c = column[self.terms]
+        out[self.owner()[c >= 0], c[c >= 0]] = self.weights[c >= 0]
+        return out
+
+    def take(self, rows: np.ndarray) -> Rows:
+        at, lengths = _runs(self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows])
+        return Rows(np.concatenate([[0], np.cumsum(lengths)]), self.terms[at], self.weights[at])
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions starts[i] .. starts[i] + lengths[i] - 1 one after another, and the lengths."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
+    return np.repeat(starts - first, lengths) + np.arange(int(lengths.sum())), lengths
+
+
+class Index:
+    """Examples in blocks of BLOCK; every block has postings by term and their largest weights."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: Rows, terms: int):
+        held = np.bincount(rows.terms, minlength=terms)
+        full = np.sort(np.argsort(-held, kind="stable")[:FULL])
+        self.column = np.full(terms, -1, np.int64)
+        self.column[full] = np.arange(len(full))
+        dense = rows.dense(self.column, len(full))
+        some = np.flatnonzero(np.diff(rows.bounds) > 0)
+        if len(some):  # like examples share blocks, so that the maxima tell blocks apart
+            length = np.maximum(np.linalg.norm(dense[some], axis=1, keepdims=True), 1e-12)
+            centre, own = cluster(dense[some] / length, max(1, len(some) // BLOCK))
+            some = some[np.lexsort((ids[some], own))]
+        self.ids, self.labels, self.full = ids[some], labels[some], dense[some]
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        rows = rows.take(some)
+        self.blocks = -(-len(some) // BLOCK)
+        owner = rows.owner()
+        self.most = np.zeros((terms, max(1, self.blocks)))
+        np.maximum.at(self.most, (rows.terms, owner // BLOCK), rows.weights)
+        rare = np.flatnonzero(self.column[rows.terms] < 0)
+        order = rare[np.lexsort((owner[rare], rows.terms[rare], owner[rare] // BLOCK))]
+        self.example, self.weight = owner[order] % BLOCK, rows.weights[order]
+        cells = (owner[order] // BLOCK) * terms + rows.terms[order]
+        self.first = np.searchsorted(cells, np.arange(max(1, self.blocks) * terms + 1)).astype(np.int32)
+        self.terms = terms
+
+    def nearest(self, queries: Rows, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each query the k examples of largest positive cosine (position, or -1), the cosines (ties to the smaller id), and the blocks visited."""
+        n, size = len(queries), len(self.ids)
+        if not n or not size:
+            return np.full((n, k), -1), np.zeros((n, k)), 0
+        full = queries.dense(self.column, self.full.shape[1])
+        listed = np.flatnonzero(self.column[queries.terms] < 0)
+        owner, terms, weights = queries.owner()[listed], queries.terms[listed], queries.weights[listed]
+        some = np.flatnonzero(self.column >= 0)
+        upper = full @ self.most[some]
+        for b in range(self.blocks):
+            upper[:, b] += np.bincount(owner, weights * self.most[terms, b], n)
+        found = np.zeros((n, size))
+        best = np.zeros((n, k))
+        visited = 0
+        for b in np.argsort(-upper.sum(0), kind="stable").tolist():
+            active = np.flatnonzero((upper[:, b] > 0) & (upper[:, b] >= best[:, 0] - 1e-9))
             if not len(active):
-                break
-            for b in np.unique(visit[active, r]):
-                q = active[visit[active, r] == b]
-                at = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.rows)))
-                found = queries[q] @ self.rows[at].T
-                if own is not None:
-                    found[self.ids[at][None, :] == own[q][:, None]] = 0
-                all_scores = np.concatenate([score[q], np.where(found > 1e-12, found, 0)], 1)
-                all_rows = np.concatenate([best[q], np.where(found > 1e-12, at[None, :], -1)], 1)
-                key = np.where(all_rows >= 0, self.ids[all_rows], np.iinfo(np.int64).max)
-                order = np.lexsort((key, -np.round(all_scores, 12)), axis=1)[:, :k]
-                score[q], best[q] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_rows, order, 1)
-        return best, score
+                continue
+            visited += len(active)
+            lo, hi = b * BLOCK, min((b + 1) * BLOCK, size)
+            score = full[active] @ self.full[lo:hi].T
+            row = np.full(n, -1)
+            row[active] = np.arange(len(active))
+            mine = np.flatnonzero(row[owner] >= 0)
+            cell = b * self.terms + terms[mine]
+            at, lengths = _runs(self.first[cell].astype(np.int64), (self.first[cell + 1] - self.first[cell]).astype(np.int64))
+            to = np.repeat(row[owner[mine]] * BLOCK, lengths) + self.example[at]
+            score += np.bincount(to, np.repeat(weights[mine], lengths) * self.weight[at], len(active) * BLOCK).reshape(-1, BLOCK)[:, : hi - lo]
+            found[active, lo:hi] = score
+            best[active] = np.partition(np.concatenate([best[active], score], 1), -k, axis=1)[:, -k:]
+        key = np.round(found * 1e9).astype(np.int64) * size + (size - 1 - self.rank)
+        top = np.argpartition(-key, min(k, size) - 1, axis=1)[:, : min(k, size)]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
+        cosine = np.take_along_axis(found, top, 1)
+        pad = ((0, 0), (0, k - top.shape[1]))
+        return np.pad(np.where(cosine > 1e-9, top, -1), pad, constant_values=-1), np.pad(np.where(cosine > 1e-9, cosine, 0.0), pad), visited
 
 
 @dataclass(frozen=True)
 class Model:
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
     idf: np.ndarray
     index: Index
-    beta: np.ndarray  # of the vote's log odds and the presence of neighbours, and the intercept
-    weight: tuple[float, float] = (1.0, 1.0)  # training labels of class 0 and 1 for each that is taken
+    beta: np.ndarray  # of the vote's inputs, and the intercept
+    weight: tuple[float, float] = (1.0, 1.0)  # training labels of class 0 and 1 for each example of it
 
-    def votes(self, x: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distance-weighted vote for toxic, its inputs for calibration, and the neighbours."""
-        best, score = self.index.nearest(x, own=own)
-        weight = np.where(best >= 0, score / (1.05 - np.minimum(score, 1)), 0.0)
-        toxic = np.where(best >= 0, self.index.labels[best] if len(self.index.labels) else 0, 0)
-        weight = weight * np.array(self.weight)[toxic]
-        total = weight.sum(1)
-        share = ((weight * toxic).sum(1) + 0.05) / (total + 0.1)
-        return share, np.column_stack([np.log(share / (1 - share)), (total > 0).astype(float)]), best
+    def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs of the calibration (log odds of the distance-weighted votes, lead of the five nearest toxic over the five nearest clean ones, presence of neighbours), neighbours and cosines."""
+        best, cosine, _ = self.index.nearest(rows)
+        toxic = np.where(best >= 0, self.index.labels[best] if len(self.index.ids) else 0, 0)
+        weight = np.where(best >= 0, cosine / (1.05 - np.minimum(cosine, 1)), 0.0) * np.array(self.weight)[toxic]
+        shares = [((weight * toxic)[:, :k].sum(1) + 0.01) / (weight[:, :k].sum(1) + 0.02) for k in VOTES]
+        near = [np.where((best >= 0) & (toxic == c) & (np.cumsum(toxic == c, axis=1) <= 5), cosine, 0.0).sum(1) for c in (1, 0)]
+        return np.column_stack([*[np.log(x / (1 - x)) for x in shares], 2 * (near[0] - near[1]), (best >= 0).any(1)]), best, cosine
 
+    def score(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inputs, best, cosine = self.inputs(rows)
+        return np.round(sigmoid(np.column_stack([inputs, np.ones(len(rows))]) @ self.beta), 9), best, cosine
 
-def _chosen(counts: DataFrame, n1: int, n0: int) -> np.ndarray:
-    """Hashes of the terms that the label depends on most."""
-    a, b = F.col("ones").cast("double"), F.col("zeros").cast("double")
-    n = float(n1 + n0)
-    chi = F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) * n / ((a + b) * (n - a - b) * float(n1) * float(n0))
-    rows = counts.filter(F.col("ones") + F.col("zeros") < n).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    return np.array(sorted(r["term"] for r in rows), np.int64).view(np.uint64)
+
+def _sampled(known: DataFrame, most: int) -> tuple[DataFrame, tuple[float, float]]:
+    """At most ``most`` ids of each class, those that hash lowest, and how many labels each stands for."""
+    many = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    return lowest_hash(known.filter("label = 1"), most).union(lowest_hash(known.filter("label = 0"), most)), tuple(max(1.0, many.get(c, 0) / max(1, most)) for c in (0, 1))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, held: Column, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", examples: int = EXAMPLES) -> Model:
+    """Examples, index and calibration from the labels of ids outside ``held`` (a condition on ``id``).
+
+    Ids with a document are taken only, so labels without one use up no place.  A
+    fifth of them (another fold of the id) calibrates and serves as no example.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    known = known.filter(~held).join(rows.select("id"), "id", "left_semi").withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0)
+    known = cut(known, "labelled")
+    taken, weight = _sampled(known.filter("not calibrates"), examples)
+    checks, check_weight = _sampled(known.filter("calibrates"), examples)
+    chosen = F.broadcast(cut(taken.union(checks), "chosen"))
+    texts = cut(rows.join(chosen, "id").groupBy("id", "label", "calibrates").agg(F.min("text").alias("text")), "examples")
+    distinct = texts.filter("not calibrates").select("text").mapInArrow(_terms, "term long").distinct().toArrow()
+    vocabulary = Vocabulary(distinct.column(0).to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    partial = rows.select("text").mapInArrow(_frequencies(shared), "term int, held long")
+    sums = partial.groupBy("term").agg(F.sum("held").alias("held")).toArrow()
+    term, count = (sums.column(c).to_numpy() for c in (0, 1))
+    frequency = np.zeros(len(vocabulary.hashes))
+    frequency[term[term >= 0]] = count[term >= 0]
+    idf = np.log((1 + count[term < 0].sum()) / (1 + frequency)) + 0.1
+    kind = rows.schema["id"].dataType.simpleString()
+    sample = texts.select("id", "label", "calibrates", "text").mapInArrow(_counts(shared), f"id {kind}, label int, calibrates boolean, terms array<int>, counts array<int>").orderBy("id").toArrow()
+    return fit(sample, vocabulary, idf, weight, check_weight)
+
+
+def fit(sample: pa.Table, vocabulary: Vocabulary, idf: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), check_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Index the examples of ``sample`` (id, label, calibrates, terms, counts) and calibrate their votes on the other rows."""
+    ids, label = np.array(sample.column("id").to_pylist()), np.array(sample.column("label").to_pylist(), int)
+    checks = np.array(sample.column("calibrates").to_pylist(), bool)
+    lists = sample.column("terms").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
+    counts = sample.column("counts").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
+    bounds = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+    rows = Rows.of(bounds, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), idf)
+    mine, other = np.flatnonzero(~checks), np.flatnonzero(checks)
+    index = Index(ids[mine] if len(mine) else np.zeros(0, int), label[mine], rows.take(mine), len(idf))
+    if len(set(label[other].tolist())) < 2 or len(set(label[mine].tolist())) < 2:
+        total = np.bincount(label, minlength=2) if len(label) else np.zeros(2)
+        return Model(vocabulary, idf, index, np.append(np.zeros(len(VOTES) + 2), np.log((total[1] + 1) / (total[0] + 1))), weight)
+    parts = [Model(vocabulary, idf, index, np.zeros(len(VOTES) + 3), weight).inputs(rows.take(other[a : a + ROWS]))[0] for a in range(0, len(other), ROWS)]
+    beta = fit_logistic(np.concatenate(parts), label[other].astype(float), np.array(check_weight)[label[other]], ridge=0.5)
+    return Model(vocabulary, idf, index, beta, weight)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", held: int = 0, examples: int = EXAMPLES) -> DataFrame:
-    """id, held_out, score, predicted and evidence (the nearest examples: id, label, cosine) of every row of ``docs``.
+    """id, held_out, score, predicted and evidence (the five nearest examples: id, label, cosine) of every row of ``docs``.
 
     Labels come only from ids outside fold ``held`` of five (crc32 of the id as
-    text); of each class at most ``examples`` ids, those that hash lowest.  The
-    votes are calibrated on the examples, each without itself.  Examples count in
-    votes and calibration for all training labels of their class, so the real ratio
-    of the classes holds where ``examples`` binds.
+    text); of each class at most ``examples`` ids are examples and as many
+    calibrate, those that hash lowest.  Both count for all training labels of their
+    class, so the real ratio of the classes holds where ``examples`` binds.
 
     Defined cases: null and empty texts have no terms and get the calibrated rate
     of texts without neighbours; rows without id are held out; several labels of
-    an id count as their maximum; null labels are left out; with labels of one
-    class or none every score is their smoothed rate; repeated rows score alike;
-    an empty table gives no rows.
+    an id count as their maximum, several texts of an example as the smallest;
+    null labels are left out; where examples or calibrating labels are of one class
+    or none, every score is their smoothed rate; repeated rows score alike; a very
+    long text is read in pieces; an empty table gives no rows; other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    known = known.filter(fold(F.col("id")) != held)
-    chosen = cut(lowest_hash(known.filter("label = 1"), examples).union(lowest_hash(known.filter("label = 0"), examples)), "labelled")
+    model = train_toxicity(docs, labels, fold(F.col("id")) == held, id_col, label_col, text_col, examples)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    many = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    weight = tuple(max(1.0, many.get(c, 0) / max(1, examples)) for c in (0, 1))
-    texts = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
-    texts = cut(texts, "examples")
-    size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    terms = texts.mapInArrow(_distinct, "label int, term long")
-    counts = terms.groupBy("term").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
-    vocabulary = _chosen(counts.filter("ones + zeros >= 3"), n1, n0) if n1 and n0 else np.zeros(0, np.uint64)
-
     kind = rows.schema["id"].dataType.simpleString()
-    hits = cut(rows.mapInArrow(_hits(spark.sparkContext.broadcast(vocabulary), 1), f"id {kind}, features array<int>, counts array<int>"), "hits")
-    partial = hits.select("features").mapInArrow(_frequencies(len(vocabulary)), "feature int, held long")
-    held_by = {r["feature"]: r["held"] for r in partial.groupBy("feature").agg(F.sum("held").alias("held")).collect()}
-    n = held_by.pop(-1, 0)
-    idf = np.array([np.log((1 + n) / (1 + held_by.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
-    sample = hits.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
-    model = _fit(sample, vocabulary, idf, weight)
     schema = f"id {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>"
-    scored = hits.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema)
+    scored = rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), schema)
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id")) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def _fit(sample: pa.Table, vocabulary: np.ndarray, idf: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    ids, label = np.array(sample.column("id").to_pylist()), np.array(sample.column("label").to_pylist(), float)
-    joined = lambda c: sample.column(c).combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
-    x = vectors(joined("features"), joined("counts"), idf)
-    index = Index.of(ids, label.astype(int), x) if len(ids) else Index(np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(idf))), np.zeros((0, len(idf))))
-    if len(set(label.tolist())) < 2:
-        rate = (label.sum() + 1) / (len(label) + 2)
-        return Model(vocabulary, idf, index, np.array([0.0, 0.0, np.log(rate / (1 - rate))]))
-    _, inputs, _ = Model(vocabulary, idf, index, np.zeros(3), weight).votes(x, own=ids)
-    return Model(vocabulary, idf, index, fit_logistic(inputs, label, np.array(weight)[label.astype(int)], ridge=0.5), weight)
-
-
-def _scored(model):
+def _scored(model, shown: int = 5):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                x = vectors(batch.column(1), batch.column(2), m.idf)
-                _, inputs, best = m.votes(x)
-                score = sigmoid(np.column_stack([inputs, np.ones(len(x))]) @ m.beta)
+        for batch in batches:
+            for at, bounds, terms, counts in counted(batch.column(1), m.vocabulary):
+                score, best, cosine = m.score(Rows.of(bounds, terms, counts, m.idf))
+                best, cosine = best[:, :shown], cosine[:, :shown]
                 ends = np.concatenate([[0], np.cumsum((best >= 0).sum(1))]).astype(np.int32)
                 flat = best[best >= 0]
-                row = np.repeat(np.arange(len(x)), (best >= 0).sum(1))
-                cosine = (x[row] * m.index.rows[flat]).sum(1)
-                evidence = pa.StructArray.from_arrays([pa.array(m.index.ids[flat], batch.column(0).type), pa.array(m.index.labels[flat].astype(np.int32)), pa.array(cosine)], names=["id", "label", "cosine"])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), evidence)], names=["id", "score", "evidence"])
+                kind = batch.column(0).type
+                evidence = pa.StructArray.from_arrays([pa.array(m.index.ids[flat], kind), pa.array(m.index.labels[flat].astype(np.int32)), pa.array(cosine[best >= 0])], names=["id", "label", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), evidence)], names=["id", "score", "evidence"])
 
     return run
