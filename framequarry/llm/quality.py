@@ -1,9 +1,15 @@
 """Quality classification by co-training two views of a page.
 
-One classifier sees the text's content, the other only the row's metadata.  In
-each round each view gives its most confident pseudo-labels of an unlabelled pool
-to the other's training set.  Both are then calibrated on held-out labels, and a
-combination fitted there scores all documents.
+One classifier sees the text's content (shares of byte values, hashed words,
+repetition), the other only what a page's listing tells about it (language,
+source, size, and characters per word and line).  In each round each view ranks
+the unlabelled documents and hands its surest share of each class to the other's
+training set.  Both are then calibrated on held-out labels, and a combination
+fitted there scores all documents.
+
+The views are linear models fitted by weighted least squares.  What they need of
+the training rows, labelled or pseudo-labelled, are sums, so every document of the
+corpus takes part and no row leaves its task.
 """
 
 from __future__ import annotations
@@ -20,63 +26,74 @@ from pyspark.sql import types as T
 
 from . import textkernel
 from .sampling import fit_logistic, fold, logit, lowest_hash, sigmoid
-from .workspace import fresh
-
-#: Rows that models are fitted on, at most: labelled documents, and unlabelled ones of the pool.
-LABELLED, POOL = 8192, 8192
-LANGS, SOURCES = 16, 48
-STATS = 9
-
-
-def text_features(texts: pa.Array) -> np.ndarray:
-    """A row for each text: shares of each byte value, and word statistics.  Null and empty texts give zeros."""
-    data, offsets = textkernel.buffers(texts)
-    n = len(offsets) - 1
-    out = np.zeros((n, 256 + STATS))
-    for at, found, counts in textkernel.words(texts, fold=np.arange(256, dtype=np.uint8)):
-        to = at + len(counts)
-        size = np.diff(offsets[at : to + 1])
-        word = 0
-        for i in range(at, to):
-            if not size[i - at]:
-                continue
-            histogram = np.zeros(256)
-            for lo in range(int(offsets[i]), int(offsets[i + 1]), textkernel.PIECE):
-                histogram += np.bincount(data[lo : min(lo + textkernel.PIECE, int(offsets[i + 1]))], minlength=256)
-            mine = found[word : word + counts[i - at]]
-            word += counts[i - at]
-            k = len(mine)
-            out[i, :256] = np.sqrt(histogram / size[i - at])
-            if k:
-                distinct = len(np.unique(mine))
-                letters = histogram[65:91].sum() + histogram[97:123].sum() + histogram[128:].sum()
-                out[i, 256:] = (
-                    np.log1p(k), distinct / k, distinct / np.sqrt(k), (mine[1:] == mine[:-1]).mean() if k > 1 else 0, size[i - at] / k / 10,
-                    histogram[65:91].sum() / max(1, letters), letters / size[i - at], histogram[10] / k, (histogram[33:48].sum() + histogram[58:65].sum() + histogram[91:97].sum() + histogram[123:127].sum()) / size[i - at],
-                )
-    return out
+from .workspace import cut, fresh
+
+#: Held-out labelled documents that calibrate, at most.
+CHECKS = 8192
+LANGS, SOURCES, LENGTHS, WORDS = 16, 48, 12, 128
+TEXT, META = 256 + WORDS + 6, LANGS * LENGTHS + SOURCES + 10
+#: Cells of the grid on which a view's scores of the pool are counted.
+GRID, LOW, HIGH = 4096, -1.0, 2.0
+ROWS = 512
+
 
+def features(texts: pa.Array, chars: np.ndarray, lang: np.ndarray, source: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, text view, metadata view) for runs of at most ROWS whole texts; nan ``chars`` are unknown.
 
-def meta_features(chars: np.ndarray, lang: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """A row for each document from its number of characters (nan: unknown), hashed language and hashed source."""
+    Null and empty texts have a text view of zeros.
+    """
+    kept: list[tuple] = []
+    plain = np.arange(256, dtype=np.uint8)
+    for at, data, bounds, whole in textkernel.pieces(texts, textkernel.SPACE, plain, ROWS):
+        n = len(bounds) - 1
+        size = np.diff(bounds)
+        row = np.repeat(np.arange(n), size)
+        bytes_ = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)
+        found, count = textkernel._hashes(textkernel.LOWER[data], bounds, textkernel.SPACE)
+        owner = np.repeat(np.arange(n), count)
+        words = np.bincount(owner * WORDS + (found >> np.uint64(57)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+        again = np.bincount(owner[1:], (found[1:] == found[:-1]) & (owner[1:] == owner[:-1]), n) if len(found) else np.zeros(n)
+        order = np.lexsort((found, owner))
+        new = np.ones(len(found), bool)
+        new[1:] = (found[order][1:] != found[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        distinct = np.bincount(owner[order], new, n)
+        kept.append((bytes_, words, count, again, distinct, size))
+        if not whole:
+            continue
+        bytes_, words, count, again, distinct, size = (np.sum([k[i] for k in kept], axis=0) for i in range(6))  # distinct words of a very long text: of its pieces
+        kept = []
+        upper, lower = bytes_[:, 65:91].sum(1), bytes_[:, 97:123].sum(1) + bytes_[:, 128:].sum(1)
+        k, s = np.maximum(count, 1), np.maximum(size, 1)
+        stats = np.column_stack([again / k, distinct / k, distinct / np.sqrt(k) / 10, upper / np.maximum(1, upper + lower), (upper + lower) / s, np.minimum(count, 1)])
+        text = np.concatenate([np.sqrt(bytes_ / s[:, None]), np.sqrt(words / k[:, None]), np.where(count[:, None] > 0, stats, 0)], 1)
+        yield at, text, _meta(chars[at : at + n], lang[at : at + n], source[at : at + n], count, bytes_[:, 10])
+
+
+def _meta(chars: np.ndarray, lang: np.ndarray, source: np.ndarray, words: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     known = np.isfinite(chars)
-    size = np.log1p(np.maximum(np.where(known, chars, 0), 0))
-    return np.column_stack([size, size**2 / 10, ~known, np.eye(LANGS)[lang], np.eye(SOURCES)[source]])
+    c = np.where(known, np.maximum(chars, 0), 0)
+    each = c / np.maximum(words, 1)
+    length = np.clip((np.log2(np.maximum(each, 1)) - 2) * 6, 0, LENGTHS - 1).astype(int)
+    place = np.zeros((len(c), LANGS * LENGTHS))
+    place[np.arange(len(c)), lang * LENGTHS + length] = known & (words > 0)
+    size, line = np.log1p(c) / 10, np.log1p(c / (breaks + 1)) / 10
+    numbers = np.column_stack([size, size**2, line, line**2, np.log1p(words) / 10, np.log1p(words / (breaks + 1)) / 10, np.log1p(breaks) / 10, np.log1p(each), ~known, words == 0])
+    return np.concatenate([place, np.eye(SOURCES)[source], numbers], 1)
 
 
 @dataclass(frozen=True)
 class View:
-    """A standardised, calibrated logistic model."""
+    """A calibrated linear model."""
 
-    mean: np.ndarray
-    scale: np.ndarray
     beta: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.beta[:-1] + self.beta[-1]
+
     def odds(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.mean) / self.scale) @ self.beta[:-1] + self.beta[-1]
-        return np.clip(raw, -30, 30) * self.slope + self.shift
+        return np.clip(self.raw(x) * self.slope + self.shift, -30, 30)
 
 
 @dataclass(frozen=True)
@@ -84,6 +101,7 @@ class Model:
     text: View
     meta: View
     weights: np.ndarray  # of the text's and the metadata's log odds, and the intercept
+    given: tuple = ()  # for each round: labels (good, bad) that the text view and the metadata view handed over
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined, text and metadata probabilities of good quality."""
@@ -91,60 +109,41 @@ class Model:
         return sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.weights), sigmoid(a), sigmoid(b)
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    return View(mean, scale, fit_logistic((x - mean) / scale, y, weight, ridge=3.0))
+def moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted sums over rows of (x, 1, y) by itself: all that least squares needs of them."""
+    z = np.column_stack([x, np.ones(len(x)), y])
+    return (z * weight[:, None]).T @ z
 
 
-def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
-    if len(set(y.tolist())) < 2:
-        return view
-    slope, shift = fit_logistic(view.odds(x)[:, None], y, ridge=0.1)
-    slope = max(float(slope), 0.0)
-    return View(view.mean, view.scale, view.beta, slope, float(shift) if slope else float(logit(np.array([y.mean()]))[0]))
+def fit_view(sums: np.ndarray, ridge: float = 1e-3) -> View:
+    """Least squares of the label on standardised features, shrunk by ``ridge`` for each unit of weight."""
+    d = len(sums) - 2
+    total = max(sums[d, d], 1e-12)
+    mean = sums[:d, d] / total
+    spread = np.sqrt(np.maximum(np.diag(sums)[:d] / total - mean**2, 0))
+    scale = np.where(spread > 1e-6, spread, np.inf)
+    cov = (sums[:d, :d] / total - np.outer(mean, mean)) / np.outer(scale, scale)
+    with_label = (sums[:d, d + 1] / total - mean * sums[d, d + 1] / total) / scale
+    beta = np.linalg.solve(cov + (ridge + 20.0 / total) * np.eye(d), with_label) / scale
+    return View(np.append(beta, sums[d, d + 1] / total - mean @ beta))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.1, sure: float = 0.97) -> Model:
-    """Fit the two views on labels (nan-free ``y``), exchanging pseudo-labels of the pool; ``held`` rows only calibrate.
+def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
+    slope, shift = fit_logistic(view.raw(x)[:, None], y, ridge=1e-3)
+    slope = max(float(slope), 0.0)
+    return View(view.beta, slope, float(shift) if slope else float(logit(np.array([y.mean()]))[0]))
 
-    Each round a view hands over at most ``share`` of the pool for each class, and
-    only what it gives at least ``sure`` of.  Pseudo-labels weigh half.
-    """
-    if not len(y) or len(set(y.tolist())) < 2:
-        rate = float(logit(np.array([(y.sum() + 1) / (len(y) + 2)]))[0])
-        flat = lambda x: View(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.append(np.zeros(x.shape[1]), rate))
-        return Model(flat(text), flat(meta), np.array([1.0, 0.0, 0.0]))
-    if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    check = held if held.any() else np.ones(len(y), bool)
-    sides = [(text, pool_text), (meta, pool_meta)]
-    given: list[dict[int, int]] = [{}, {}]
-    views: list[View] = []
-    for _ in range(rounds + 1):
-        views = []
-        for i, (x, pool) in enumerate(sides):
-            extra = np.fromiter(given[i], int, len(given[i]))
-            labels = np.array([given[i][j] for j in extra.tolist()], float)
-            train = _fit_view(np.concatenate([x[~held], pool[extra]]), np.concatenate([y[~held], labels]), np.concatenate([np.ones((~held).sum()), np.full(len(extra), 0.5)]))
-            views.append(_calibrate(train, x[check], y[check]))
-        for i, (_, pool) in enumerate(sides):
-            p = sigmoid(views[i].odds(pool))
-            for label, confidence in ((1, p), (0, 1 - p)):
-                best = np.argsort(-confidence, kind="stable")[: int(share * len(pool))]
-                for j in best[confidence[best] >= sure].tolist():
-                    given[1 - i].setdefault(j, label)
-    odds = np.column_stack([views[i].odds(x[check]) for i, (x, _) in enumerate(sides)])
-    useful = [i for i in (0, 1) if odds[:, i].std() > 1e-9]
-    weights = np.zeros(3)
-    fitted = fit_logistic(odds[:, useful], y[check], ridge=1.0)
-    weights[useful], weights[2] = fitted[:-1], fitted[-1]
-    if (weights[:2] < 0).any():  # a view that only hurts is left out
+
+def combine(text: View, meta: View, xt: np.ndarray, xm: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of both views' log odds; a view that only hurts gets none."""
+    odds = np.column_stack([text.odds(xt), meta.odds(xm)])
+    weights = fit_logistic(odds, y, ridge=0.3)
+    if (weights[:2] < 0).any():
         i = int(np.argmax(weights[:2]))
+        only = fit_logistic(odds[:, [i]], y, ridge=0.3)
         weights = np.zeros(3)
-        only = fit_logistic(odds[:, [i]], y[check], ridge=1.0)
         weights[i], weights[2] = only
-    return Model(views[0], views[1], weights)
+    return weights
 
 
 def _columns(docs: DataFrame, text_col: str, chars_col: str, lang_col: str, source_col: str) -> list[Column]:
@@ -153,39 +152,131 @@ def _columns(docs: DataFrame, text_col: str, chars_col: str, lang_col: str, sour
     return [F.col(text_col).cast("string"), (F.col(chars_col) if chars_col in have else F.lit(None)).cast("double"), hashed(lang_col, LANGS), hashed(source_col, SOURCES)]
 
 
-def _features(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    chars = batch.column(at + 1).to_pandas().to_numpy(float)
-    return text_features(batch.column(at)), meta_features(chars, batch.column(at + 2).to_numpy(), batch.column(at + 3).to_numpy())
+def _features(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return features(batch.column(at), batch.column(at + 1).to_pandas().to_numpy(float), batch.column(at + 2).to_numpy(), batch.column(at + 3).to_numpy())
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(role, label, text, chars, lang, source) -> role, label and both views in half precision."""
     for batch in batches:
-        text, meta = _features(batch, 4)
-        both = np.concatenate([text, meta], 1).astype(np.float32)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["id", "label", "held", "pool", "features"])
+        for at, text, meta in _features(batch, 2):
+            rows = np.concatenate([text, meta], 1).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["role", "label", "views"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(role, label, text view, metadata view) of at most ROWS rows at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        rows = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float16).reshape(-1, TEXT + META).astype(float)
+        yield part.column(0).to_numpy(), part.column(1).to_numpy().astype(float), rows[:, :TEXT], rows[:, TEXT:]
+
 
+def _sums(views, cuts, weight: float):
+    """Packed rows -> one row of moments for each view: labelled rows and those that the other view labels."""
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", chars_col: str = "n_chars", lang_col: str = "lang", source_col: str = "source", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled and ``pool`` other documents, those whose ids hash lowest.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((TEXT + 2, TEXT + 2)), np.zeros((META + 2, META + 2))]
+        given = np.zeros(4)
+        for batch in batches:
+            for role, label, *x in _unpacked(batch):
+                known = role == 1
+                for i in (0, 1):
+                    y, w = label, known.astype(float)
+                    if views is not None:
+                        raw = views[1 - i].raw(x[1 - i])
+                        good, bad = (role == 0) & (raw >= cuts[1 - i][1]), (role == 0) & (raw <= cuts[1 - i][0])
+                        given[2 * (1 - i) : 2 * (2 - i)] += good.sum(), bad.sum()
+                        y, w = np.where(known, label, good), w + weight * (good ^ bad)
+                    if w.any():
+                        total[i] += moments(x[i][w > 0], y[w > 0], w[w > 0])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total[0].ravel(), total[1].ravel(), given]).tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column(0):
+            part = np.frombuffer(x.as_buffer(), float)
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def _grid(views):
+    """Packed rows -> for each partition how many pool rows each view gives each cell of the score grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, GRID), np.int64)
+        for batch in batches:
+            for role, _, *x in _unpacked(batch):
+                for i in (0, 1):
+                    cell = np.clip((views[i].raw(x[i][role == 0]) - LOW) / (HIGH - LOW) * GRID, 0, GRID - 1).astype(int)
+                    held[i] += np.bincount(cell, minlength=GRID)
+        view, cell = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(held[view, cell])], names=["view", "cell", "n"])
+
+    return run
+
+
+def _fit_round(rows: DataFrame, views, cuts, weight: float) -> tuple[list[View], np.ndarray]:
+    sums = rows.mapInArrow(_sums(views, cuts, weight), "sums binary")
+    for parts in (64, 4):
+        sums = sums.repartition(parts).mapInArrow(_added, "sums binary")
+    total = sum(np.frombuffer(r[0], float) for r in sums.collect())
+    a = (TEXT + 2) ** 2
+    return [fit_view(total[:a].reshape(TEXT + 2, -1)), fit_view(total[a:-4].reshape(META + 2, -1))], total[-4:]
+
+
+def _cuts(rows: DataFrame, views: list[View], share: float, rate: float) -> list[tuple[float, float]]:
+    """For each view the scores at or below and at or above which it hands a row over: its surest ``share`` of the pool, split by the classes' rate."""
+    held = np.zeros((2, GRID))
+    for r in rows.mapInArrow(_grid(views), "view int, cell int, n long").groupBy("view", "cell").agg(F.sum("n").alias("n")).collect():
+        held[r["view"], r["cell"]] = r["n"]
+    out = []
+    for counts in held:
+        n = counts.sum()
+        low = np.flatnonzero(np.cumsum(counts) <= share * (1 - rate) * n)
+        high = np.flatnonzero(np.cumsum(counts[::-1])[::-1] <= share * rate * n)
+        edge = lambda cell: LOW + (HIGH - LOW) * cell / GRID
+        out.append((edge(low[-1] + 1) if len(low) and n else -np.inf, edge(high[0]) if len(high) and n else np.inf))
+    return out
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", chars_col: str = "n_chars", lang_col: str = "lang", source_col: str = "source", rounds: int = 2, share: float = 0.2, weight: float = 0.25, checks: int = CHECKS) -> Model:
+    """Fit both views on all labelled documents, exchanging pseudo-labels of all others.
 
     Labels above 0 mean good.  Rows without id or label are left out; several
-    labels of one id count as their minimum.  Every fifth id calibrates.
+    labels of one id count as their minimum.  Every fifth labelled id is no
+    training row; of them ``checks`` at most, those that hash lowest, calibrate.  Each round a view
+    hands over the ``share`` of the pool that it ranks surest; a pseudo-label weighs ``weight``.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
-    known = lowest_hash(known, labelled)
-    others = lowest_hash(docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), pool, 1).withColumn("label", F.lit(-1))
-    wanted = F.broadcast(known.union(others).groupBy("id").agg(F.max("label").alias("label")))
     slim = docs.select(F.col(id_col).alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(_columns(docs, text_col, chars_col, lang_col, source_col))])
-    rows = slim.join(wanted, "id").select("id", "label", (fold(F.col("id"), 5) == 1).alias("held"), (F.col("label") < 0).alias("pool"), "c0", "c1", "c2", "c3")
-    kind = slim.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_sampled, f"id {kind}, label int, held boolean, pool boolean, features array<float>").toArrow()
-    order = np.argsort(np.array([repr(x) for x in found.column("id").to_pylist()]), kind="stable") if found.num_rows else np.zeros(0, int)
-    wide = 256 + STATS + 3 + LANGS + SOURCES
-    x = (np.concatenate([c.flatten().to_numpy() for c in found.column("features").chunks]).reshape(-1, wide) if found.num_rows else np.zeros((0, wide))).astype(float)[order]
-    label, held, is_pool = (np.asarray(found.column(c).to_pylist())[order].astype(t) if found.num_rows else np.zeros(0, t) for c, t in (("label", float), ("held", bool), ("pool", bool)))
-    text, meta = x[:, : 256 + STATS], x[:, 256 + STATS :]
-    return co_train(text[~is_pool], meta[~is_pool], label[~is_pool], held[~is_pool], text[is_pool], meta[is_pool])
+    check = fold(F.col("id")) == 1
+    rows = slim.join(known, "id", "left").select(F.when(F.col("label").isNull(), 0).when(check, 2).otherwise(1).alias("role"), F.coalesce("label", F.lit(-1)).alias("label"), "c0", "c1", "c2", "c3")
+    rows = cut(rows.mapInArrow(_packed, "role int, label int, views binary"), "views")
+    counts = {(r["role"], r["label"]): r["count"] for r in rows.groupBy("role", "label").count().collect()}
+    good, bad = counts.get((1, 1), 0), counts.get((1, 0), 0)
+    if not good or not bad:
+        good, bad = (sum(counts.get((r, c), 0) for r in (1, 2)) for c in (1, 0))
+        rate = float(logit(np.array([(good + 1) / (good + bad + 2)]))[0])
+        return Model(View(np.append(np.zeros(TEXT), 0.0), 0.0, rate), View(np.append(np.zeros(META), 0.0), 0.0, rate), np.array([1.0, 0.0, 0.0]))
+    views, cuts, given = None, None, []
+    for _ in range(rounds + 1):
+        views, handed = _fit_round(rows, views, cuts, weight)
+        if cuts is not None:
+            given.append(tuple(handed.astype(int).tolist()))
+        if len(given) < rounds:
+            cuts = _cuts(rows, views, share, good / (good + bad))
+    both = counts.get((2, 1), 0) and counts.get((2, 0), 0)
+    held = lowest_hash(rows.filter(F.col("role") == (2 if both else 1)).select("views", "label"), checks).toArrow()
+    y = held.column("label").to_numpy().astype(float)
+    x = np.frombuffer(b"".join(held.column("views").to_pylist()), np.float16).reshape(-1, TEXT + META).astype(float)
+    text, meta = calibrate(views[0], x[:, :TEXT], y), calibrate(views[1], x[:, TEXT:], y)
+    return Model(text, meta, combine(text, meta, x[:, :TEXT], x[:, TEXT:], y), tuple(given))
 
 
 def _score(model, names: list[str], width: int, keep: float | None):
@@ -193,12 +284,10 @@ def _score(model, names: list[str], width: int, keep: float | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(width)
-            n = batch.num_rows
-            for at in range(0, n, 512):
-                part = batch.slice(at, 512)
-                both, text, meta = model.value.score(*_features(part, width))
-                both = np.where(np.array(pc.fill_null(pc.utf8_length(texts.slice(at, 512)), 0)) == 0, 0.0, both)
+            for at, *views in _features(batch, width):
+                part = batch.slice(at, len(views[0]))
+                both, text, meta = (np.round(x, 12) for x in model.value.score(*views))
+                both = np.where(np.array(pc.fill_null(pc.utf8_length(part.column(width)), 0)) == 0, 0.0, both)
                 if keep is None:
                     yield pa.RecordBatch.from_arrays([*part.columns[:width], *[pa.array(x) for x in (both, text, meta)]], names=names)
                 else:

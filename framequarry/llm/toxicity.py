@@ -24,7 +24,7 @@ from .sampling import fit_logistic, fold, lowest_hash, sigmoid
 from .workspace import cut
 
 #: Labelled documents of each class that serve as examples, and that calibrate, at most.
-EXAMPLES = 2048
+EXAMPLES = 1024
 GRAM, BLOCK, NEIGHBOURS = 4, 64, 200
 #: The vote is taken among so many of the nearest.
 VOTES = (15, 50, 200)
@@ -225,21 +225,23 @@ class Model:
     vocabulary: Vocabulary
     idf: np.ndarray
     index: Index
-    beta: np.ndarray  # of the vote's inputs, and the intercept
+    beta: np.ndarray  # of the votes' inputs, and the intercept
+    base: float  # smoothed log odds of toxic, for texts without neighbours
     weight: tuple[float, float] = (1.0, 1.0)  # training labels of class 0 and 1 for each example of it
 
     def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs of the calibration (log odds of the distance-weighted votes, lead of the five nearest toxic over the five nearest clean ones, presence of neighbours), neighbours and cosines."""
+        """Inputs of the calibration (log odds of the distance-weighted votes, lead of the five nearest toxic over the five nearest clean ones), neighbours and cosines."""
         best, cosine, _ = self.index.nearest(rows)
         toxic = np.where(best >= 0, self.index.labels[best] if len(self.index.ids) else 0, 0)
         weight = np.where(best >= 0, cosine / (1.05 - np.minimum(cosine, 1)), 0.0) * np.array(self.weight)[toxic]
         shares = [((weight * toxic)[:, :k].sum(1) + 0.01) / (weight[:, :k].sum(1) + 0.02) for k in VOTES]
         near = [np.where((best >= 0) & (toxic == c) & (np.cumsum(toxic == c, axis=1) <= 5), cosine, 0.0).sum(1) for c in (1, 0)]
-        return np.column_stack([*[np.log(x / (1 - x)) for x in shares], 2 * (near[0] - near[1]), (best >= 0).any(1)]), best, cosine
+        return np.column_stack([*[np.log(x / (1 - x)) for x in shares], 2 * (near[0] - near[1])]), best, cosine
 
     def score(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inputs, best, cosine = self.inputs(rows)
-        return np.round(sigmoid(np.column_stack([inputs, np.ones(len(rows))]) @ self.beta), 9), best, cosine
+        odds = np.where((best >= 0).any(1), np.column_stack([inputs, np.ones(len(rows))]) @ self.beta, self.base)
+        return np.round(sigmoid(odds), 9), best, cosine
 
 
 def _sampled(known: DataFrame, most: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -287,12 +289,14 @@ def fit(sample: pa.Table, vocabulary: Vocabulary, idf: np.ndarray, weight: tuple
     rows = Rows.of(bounds, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), idf)
     mine, other = np.flatnonzero(~checks), np.flatnonzero(checks)
     index = Index(ids[mine] if len(mine) else np.zeros(0, int), label[mine], rows.take(mine), len(idf))
+    total = np.bincount(label, np.where(checks[:, None], check_weight, weight)[np.arange(len(label)), label], 2) if len(label) else np.zeros(2)
+    base = float(np.log((total[1] + 1) / (total[0] + 1)))
     if len(set(label[other].tolist())) < 2 or len(set(label[mine].tolist())) < 2:
-        total = np.bincount(label, minlength=2) if len(label) else np.zeros(2)
-        return Model(vocabulary, idf, index, np.append(np.zeros(len(VOTES) + 2), np.log((total[1] + 1) / (total[0] + 1))), weight)
-    parts = [Model(vocabulary, idf, index, np.zeros(len(VOTES) + 3), weight).inputs(rows.take(other[a : a + ROWS]))[0] for a in range(0, len(other), ROWS)]
-    beta = fit_logistic(np.concatenate(parts), label[other].astype(float), np.array(check_weight)[label[other]], ridge=0.5)
-    return Model(vocabulary, idf, index, beta, weight)
+        return Model(vocabulary, idf, index, np.append(np.zeros(len(VOTES) + 1), base), base, weight)
+    bare = Model(vocabulary, idf, index, np.zeros(len(VOTES) + 2), base, weight)
+    inputs = np.concatenate([bare.inputs(rows.take(other[a : a + ROWS]))[0] for a in range(0, len(other), ROWS)])
+    beta = fit_logistic(inputs, label[other].astype(float), np.array(check_weight)[label[other]], ridge=0.5)
+    return Model(vocabulary, idf, index, beta, base, weight)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", held: int = 0, examples: int = EXAMPLES) -> DataFrame:
@@ -303,8 +307,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     calibrate, those that hash lowest.  Both count for all training labels of their
     class, so the real ratio of the classes holds where ``examples`` binds.
 
-    Defined cases: null and empty texts have no terms and get the calibrated rate
-    of texts without neighbours; rows without id are held out; several labels of
+    Defined cases: null and empty texts have no terms; texts without neighbours get
+    the smoothed rate of toxic training labels; rows without id are held out; several labels of
     an id count as their maximum, several texts of an example as the smallest;
     null labels are left out; where examples or calibrating labels are of one class
     or none, every score is their smoothed rate; repeated rows score alike; a very
