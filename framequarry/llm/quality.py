@@ -30,8 +30,8 @@ from .workspace import cut, fresh
 
 #: Held-out labelled documents that calibrate, at most.
 CHECKS = 8192
-LANGS, SOURCES, LENGTHS, WORDS = 16, 48, 12, 128
-TEXT, META = 256 + WORDS + 6, LANGS * LENGTHS + SOURCES + 10
+LANGS, SOURCES, LENGTHS, SIZES, WORDS = 16, 48, 12, 12, 128
+TEXT, META = 256 + WORDS + 6, LANGS * LENGTHS + SOURCES + 3 * SIZES + 2
 #: Cells of the grid on which a view's scores of the pool are counted.
 GRID, LOW, HIGH = 4096, -1.0, 2.0
 ROWS = 512
@@ -64,7 +64,7 @@ def features(texts: pa.Array, chars: np.ndarray, lang: np.ndarray, source: np.nd
         kept = []
         upper, lower = bytes_[:, 65:91].sum(1), bytes_[:, 97:123].sum(1) + bytes_[:, 128:].sum(1)
         k, s = np.maximum(count, 1), np.maximum(size, 1)
-        stats = np.column_stack([again / k, distinct / k, distinct / np.sqrt(k) / 10, upper / np.maximum(1, upper + lower), (upper + lower) / s, np.minimum(count, 1)])
+        stats = np.column_stack([again / k, distinct / k, np.minimum(1, distinct / np.sqrt(k) / 30), upper / np.maximum(1, upper + lower), (upper + lower) / s, np.minimum(count, 1)])
         text = np.concatenate([np.sqrt(bytes_ / s[:, None]), np.sqrt(words / k[:, None]), np.where(count[:, None] > 0, stats, 0)], 1)
         yield at, text, _meta(chars[at : at + n], lang[at : at + n], source[at : at + n], count, bytes_[:, 10])
 
@@ -76,9 +76,10 @@ def _meta(chars: np.ndarray, lang: np.ndarray, source: np.ndarray, words: np.nda
     length = np.clip((np.log2(np.maximum(each, 1)) - 2) * 6, 0, LENGTHS - 1).astype(int)
     place = np.zeros((len(c), LANGS * LENGTHS))
     place[np.arange(len(c)), lang * LENGTHS + length] = known & (words > 0)
-    size, line = np.log1p(c) / 10, np.log1p(c / (breaks + 1)) / 10
-    numbers = np.column_stack([size, size**2, line, line**2, np.log1p(words) / 10, np.log1p(words / (breaks + 1)) / 10, np.log1p(breaks) / 10, np.log1p(each), ~known, words == 0])
-    return np.concatenate([place, np.eye(SOURCES)[source], numbers], 1)
+    # sizes are classes, not numbers, so that no page lies beyond what the fit has seen
+    classes = [np.where(known, np.log2(c + 1) - 4, -1), np.where(known, np.log2(c / (breaks + 1) + 1) * 1.5 - 3, -1), np.log2(words / (breaks + 1) + 1) * 1.5]
+    sizes = [np.eye(SIZES)[np.clip(x, 0, SIZES - 1).astype(int)] for x in classes]
+    return np.concatenate([place, np.eye(SOURCES)[source], *sizes, ~known[:, None], (words == 0)[:, None]], 1)
 
 
 @dataclass(frozen=True)
@@ -128,8 +129,13 @@ def fit_view(sums: np.ndarray, ridge: float = 1e-3) -> View:
     return View(np.append(beta, sums[d, d + 1] / total - mean @ beta))
 
 
+def soft(y: np.ndarray) -> np.ndarray:
+    """Labels as smoothed rates, so that views that separate the classes get finite odds."""
+    return np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
-    slope, shift = fit_logistic(view.raw(x)[:, None], y, ridge=1e-3)
+    slope, shift = fit_logistic(view.raw(x)[:, None], soft(y), ridge=1e-3)
     slope = max(float(slope), 0.0)
     return View(view.beta, slope, float(shift) if slope else float(logit(np.array([y.mean()]))[0]))
 
@@ -137,10 +143,10 @@ def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
 def combine(text: View, meta: View, xt: np.ndarray, xm: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of both views' log odds; a view that only hurts gets none."""
     odds = np.column_stack([text.odds(xt), meta.odds(xm)])
-    weights = fit_logistic(odds, y, ridge=0.3)
+    weights = fit_logistic(odds, soft(y), ridge=0.3)
     if (weights[:2] < 0).any():
         i = int(np.argmax(weights[:2]))
-        only = fit_logistic(odds[:, [i]], y, ridge=0.3)
+        only = fit_logistic(odds[:, [i]], soft(y), ridge=0.3)
         weights = np.zeros(3)
         weights[i], weights[2] = only
     return weights

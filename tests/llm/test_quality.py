@@ -50,7 +50,7 @@ def test_fit_is_that_of_all_rows_at_once(spark, pages):
     from framequarry.llm.sampling import fold
 
     kept = docs.filter(fold(docs["doc_id"]) != 1).collect()
-    kept = [r for r in kept if r.doc_id in label]
+    kept = [r for r in kept if r.doc_id is not None and r.doc_id in label]
     text = np.concatenate([t for _, t, _ in features(pa.array([r.text for r in kept]), np.array([r.n_chars for r in kept], float), np.zeros(len(kept), int), np.zeros(len(kept), int))])
     y = np.array([label[r.doc_id] for r in kept], float)
     plain = fit_view(moments(text.astype(np.float16).astype(float), y, np.ones(len(y))))
