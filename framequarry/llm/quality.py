@@ -28,8 +28,8 @@ from . import textkernel
 from .sampling import fit_logistic, fold, logit, lowest_hash, sigmoid
 from .workspace import cut, fresh
 
-#: Held-out labelled documents that calibrate, at most.
-CHECKS = 8192
+#: Labelled documents that the fit takes, at most, and held-out ones that calibrate.  All others are the pool.
+LABELLED, CHECKS = 32768, 8192
 LANGS, SOURCES, LENGTHS, SIZES, WORDS = 16, 48, 12, 12, 128
 TEXT, META = 256 + WORDS + 6, LANGS * LENGTHS + SOURCES + 3 * SIZES + 2
 #: Cells of the grid on which a view's scores of the pool are counted.
@@ -251,8 +251,8 @@ def _cuts(rows: DataFrame, views: list[View], share: float, rate: float) -> list
     return out
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", chars_col: str = "n_chars", lang_col: str = "lang", source_col: str = "source", rounds: int = 2, share: float = 0.2, weight: float = 0.25, checks: int = CHECKS) -> Model:
-    """Fit both views on all labelled documents, exchanging pseudo-labels of all others.
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", chars_col: str = "n_chars", lang_col: str = "lang", source_col: str = "source", rounds: int = 2, share: float = 0.2, weight: float = 0.25, labelled: int = LABELLED, checks: int = CHECKS) -> Model:
+    """Fit both views on at most ``labelled`` labelled documents (whose ids hash lowest), exchanging pseudo-labels of all others.
 
     Labels above 0 mean good.  Rows without id or label are left out; several
     labels of one id count as their minimum.  Every fifth labelled id is no
@@ -261,6 +261,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
     slim = docs.select(F.col(id_col).alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(_columns(docs, text_col, chars_col, lang_col, source_col))])
+    known = F.broadcast(cut(lowest_hash(known.join(slim.select("id"), "id", "left_semi"), labelled), "labelled"))
     check = fold(F.col("id")) == 1
     rows = slim.join(known, "id", "left").select(F.when(F.col("label").isNull(), 0).when(check, 2).otherwise(1).alias("role"), F.coalesce("label", F.lit(-1)).alias("label"), "c0", "c1", "c2", "c3")
     rows = cut(rows.mapInArrow(_packed, "role int, label int, views binary"), "views")
