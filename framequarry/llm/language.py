@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import textkernel
-from .sampling import lowest_hash
 
 #: Labelled documents that centroids are fitted on, at most; of them so many of one language.
 SAMPLE, PER_LANGUAGE = 2048, 512
+#: Texts that are turned into vectors at a time.
+ROWS = 256
 DIMENSIONS, GRAMS, CENTROIDS = 4096, (2, 3), 4
 UNKNOWN = "und"
 
@@ -24,7 +26,7 @@ UNKNOWN = "und"
 def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
     """Rows of counts of hashed byte n-grams of whole texts (A-Z folded), for runs of texts in order."""
     carry = None
-    for _, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER):
+    for _, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, ROWS):
         rows = len(bounds) - 1
         text, row = textkernel.spaced(data, bounds, textkernel.NOT_ALNUM)
         counts = np.zeros(rows * DIMENSIONS)
@@ -80,10 +82,9 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c, (x @ c.T).argmax(1)
 
 
-def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
+def fit(counts: np.ndarray, langs: list[str], idf: np.ndarray, centroids: int = CENTROIDS) -> Model:
     """Centroids of each language; a centroid accepts a cosine down to four deviations below its members' mean."""
     languages = sorted(set(langs))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
     x = _weigh(counts, idf)
     index = np.array([languages.index(l) for l in langs], int)
     found, owner, floor = [], [], []
@@ -112,36 +113,51 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         for counts in term_counts(batch.column(2)):
-            flat = pa.array(np.minimum(counts, 65535).astype(np.int32).ravel())
-            lists = pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.int32()))
+            flat = pa.array(counts.astype(np.int64).ravel())
+            lists = pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), batch.column(1).slice(at, len(counts)), lists], names=["id", "lang", "counts"])
             at += len(counts)
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> for each partition how many of them have each term, and (term -1) how many there are."""
+    held, n = np.zeros(DIMENSIONS, np.int64), 0
+    for batch in batches:
+        n += batch.num_rows
+        for counts in term_counts(batch.column(0)):
+            held += (counts > 0).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS, dtype=np.int32)), pa.array(np.append(n, held))], names=["term", "held"])
+
+
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most ``sample`` labelled documents, at most ``per_language`` of each language.
 
-    Those whose ids hash lowest are taken, first per language and then in all.
-    Rows without id, text or language are left out.
+    Every language gets an equal number, of the ids that hash lowest.  If there are
+    more than ``sample`` languages, the most frequent ones are learned.  Document
+    frequencies are those of all labelled documents.  Rows without id, text or
+    language are left out.
     """
     known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
     languages = [r["lang"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()]
     each = max(1, min(per_language, sample // max(1, len(languages))))
-    parts = [lowest_hash(ids.filter(F.col("lang") == l), each) for l in languages[:32]]
-    rest = lowest_hash(ids.filter(~F.col("lang").isin(languages[:32])), max(0, sample - each * len(parts))) if len(languages) > 32 else ids.limit(0)
-    for part in parts:
-        rest = rest.union(part)
-    wanted = F.broadcast(rest.select(F.col("id").alias("wanted")).distinct())
+    spark = docs.sparkSession
+    learned = F.broadcast(spark.createDataFrame([(l,) for l in languages], "lang string"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    wanted = ids.join(learned, "lang", "left_semi").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= each)
+    wanted = F.broadcast(wanted.select(F.col("id").alias("wanted")).distinct())
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("id") == F.col("wanted"), "left_semi")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_counted, f"id {kind}, lang string, counts array<int>").toArrow()
+    found = rows.mapInArrow(_counted, f"id {kind}, lang string, counts array<long>").toArrow()
     if not found.num_rows:
         return Model([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0), 1.0)
     langs = found.column("lang").to_pylist()
     counts = np.concatenate([c.flatten().to_numpy() for c in found.column("counts").chunks]).reshape(-1, DIMENSIONS)
     order = sorted(range(len(langs)), key=lambda i: (langs[i], repr(found.column("id")[i].as_py())))
-    return fit(counts[order].astype(np.float32), [langs[i] for i in order])
+    held = np.zeros(DIMENSIONS + 1)
+    for r in known.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_frequencies, "term int, held long").groupBy("term").agg(F.sum("held").alias("held")).collect():
+        held[r["term"] + 1] = r["held"]
+    return fit(counts[order].astype(np.float32), [langs[i] for i in order], np.log((1 + held[0]) / (1 + held[1:])) + 0.1)
 
 
 def _has_letter(texts: pa.Array) -> np.ndarray:
