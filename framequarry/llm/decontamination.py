@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkernel import mix
-from .workspace import fresh
+from .workspace import cut, fresh
 
 #: Characters of benchmark text that one pass over the documents searches for; more items take more passes.
 SLICE = 1 << 20
@@ -36,7 +36,7 @@ MATCH = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """q-gram length; least passage; shortest item searched; one edit allowed for every ``per_edit`` characters; longest run that may be replaced."""
+    """q-gram length; least passage; shortest item searched with edits (shorter ones: exactly, as whole words); one edit allowed for every ``per_edit`` characters; longest run that may be replaced."""
 
     q: int = 8
     least: int = 56
@@ -64,7 +64,8 @@ def _letters() -> np.ndarray:
 
 def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased letters and digits, and their positions in the lower-cased text."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    # one lower-case sigma wherever it stands, so that a piece of a text is lowered as in the whole
+    codes = np.frombuffer(text.replace("\u03a3", "\u03c3").replace("\u03c2", "\u03c3").lower().encode("utf-32-le", "replace"), np.uint32)
     at = np.flatnonzero(_letters()[np.minimum(codes, 0x10FFFF)])
     return codes[at], at
 
@@ -94,9 +95,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
         self.rule, self.segments = rule, []
         hashes, owners, places = [], [], []
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for item, text in items:
             codes, _ = normalise(text or "")
             if len(codes) < rule.shortest:
+                if len(codes):
+                    self.short.setdefault(len(codes), {}).setdefault(int(qgrams(codes, len(codes))[0]), []).append((item, codes))
                 continue
             grams = qgrams(codes, rule.q)
             owners.append(np.full(len(grams), len(self.segments), np.int32))
@@ -113,12 +117,30 @@ class Index:
         self.need = np.array([self.needed(n) for n in self.passage.tolist()], np.int64)
         self.slack = np.array([rule.budget(n) + rule.run(n) for n in self.passage.tolist()], np.int64)
         self.least = int(self.need.min()) if len(self.need) else 1
-        self.reach = int((self.passage + self.slack).max()) if len(self.need) else 1
+        self.reach = max([int((self.passage + self.slack).max()) if len(self.need) else 1, *self.short])
 
     def needed(self, n: int) -> int:
         """Shared q-grams of a passage of length n and a region that holds it."""
         return max(1, n - 2 * self.rule.q + 2 - self.rule.run(n) - self.rule.q * self.rule.budget(n))
 
+    def whole(self, codes: np.ndarray, places: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, start, end, 0) of items below the shortest length that stand in a document exactly, as whole words; the first region of each."""
+        out = []
+        for n, items in self.short.items():
+            grams = qgrams(codes, n)
+            at = np.flatnonzero(np.isin(grams, np.array(list(items), np.uint64)))
+            document = np.searchsorted(bounds, at, "right") - 1
+            seen = set()
+            for p, d in zip(at.tolist(), document.tolist()):
+                last = p + n - 1
+                if last >= bounds[d + 1] or (p > bounds[d] and places[p - 1] + 1 == places[p]) or (last + 1 < bounds[d + 1] and places[last] + 1 == places[last + 1]):
+                    continue
+                for item, mine in items[int(grams[p])]:
+                    if (d, item) not in seen and (codes[p : p + n] == mine).all():
+                        seen.add((d, item))
+                        out.append((d, item, p, p + n, 0))
+        return out
+
     def regions(self, codes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits) for documents [bounds[i], bounds[i+1]) of ``codes``, in its positions.
 
@@ -307,30 +329,54 @@ def align(piece: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] |
     return (int(origin[end]), end, int(cost[end])) if cost[end] <= k else None
 
 
+def _parts(text: str, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Normalised pieces of a text and their positions, each with the ``reach`` characters before it."""
+    if len(text) <= PIECE:
+        yield normalise(text)
+        return
+    carry, done = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), 0
+    for lo in range(0, len(text), PIECE):
+        piece = text[lo : lo + PIECE]
+        codes, at = normalise(piece)
+        carry = np.concatenate([carry[0][-reach:], codes]), np.concatenate([carry[1][-reach:], at + done])
+        done += len(piece.lower())
+        yield carry
+
+
+def _matches(search: Index, texts: list[str | None]) -> list[list[dict]]:
+    """The regions of each text; start and end count characters of the lower-cased text."""
+    found: list[list[dict]] = [[] for _ in texts]
+
+    def scan(rows: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c, _ in parts])])
+        codes, places = np.concatenate([c for c, _ in parts]), np.concatenate([p for _, p in parts])
+        for d, item, start, end, edits in search.regions(codes, bounds) + search.whole(codes, places, bounds):
+            begin, near = int(places[start]), (end - start) // 2
+            if not any(m["item_id"] == item and abs(m["start"] - begin) < near for m in found[rows[d]]):
+                found[rows[d]].append({"item_id": item, "start": begin, "end": int(places[end - 1]) + 1, "edits": edits})
+
+    rows, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in _parts(text or "", 2 * search.reach):
+            if rows and (size + len(part[0]) > PIECE or rows[-1] == i):
+                scan(rows, parts)
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            size += len(part[0])
+    if rows:
+        scan(rows, parts)
+    return [sorted(x, key=lambda m: (m["start"], m["item_id"])) for x in found]
+
+
 def _scan(index, text_at: int, name: str):
-    """Batches with a last column of matches: start and end count characters of the lower-cased text."""
+    """Batches with a last column of matches."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search: Index = index.value
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            found: list[list] = [[] for _ in texts]
-            at = 0
-            while at < len(texts):
-                codes, places, to, size = [], [], at, 0
-                while to < len(texts) and (size < PIECE or to == at):
-                    c, p = normalise(texts[to] or "")
-                    codes.append(c)
-                    places.append(p)
-                    size += len(c)
-                    to += 1
-                bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-                for d, item, start, end, edits in search.regions(np.concatenate(codes), bounds):
-                    p = places[d]
-                    found[at + d].append({"item_id": item, "start": int(p[start - bounds[d]]), "end": int(p[end - 1 - bounds[d]]) + 1, "edits": edits})
-                at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(x, key=lambda m: (m["start"], m["item_id"])) for x in found], kind)], names=[*batch.schema.names, name])
+            found = _matches(index.value, batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
 
     return run
 
@@ -338,31 +384,42 @@ def _scan(index, text_at: int, name: str):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rule: Rule = Rule(), matches_col: str = "matches") -> DataFrame:
     """``docs`` with an array of (item_id, start, end, edits) for regions that hold a passage of a benchmark item (``Rule``).
 
-    The benchmark is read in slices of about SLICE characters; each slice is
-    broadcast for one pass over the documents, so any number of items is searched
-    with bounded memory.
+    The benchmark is read in slices of about SLICE characters.  With one slice its
+    index is broadcast for one pass over the documents.  With more, each slice is
+    a pass of its own that writes its few hits; hits are then joined to their rows.
+    So memory is that of one slice however many items there are.
 
     Defined cases: a null or empty text has no matches (an empty array); items
-    that are null or have fewer than ``rule.shortest`` letters and digits are not
-    searched; repeated items are reported once for each item id; an empty table on
-    either side gives no matches; ``docs`` keeps all its columns, but for one named
-    as the output.
+    with fewer than ``rule.shortest`` letters and digits count where they stand
+    exactly, as whole words; null items and items without letters or digits are
+    not searched; a very long text is searched in overlapping pieces; repeated
+    items are reported once for each item id; an empty table on either side gives
+    no matches; ``docs`` keeps all its columns, but for one named as the output.
     """
     spark = docs.sparkSession
     docs = docs.drop(matches_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     slices = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // SLICE)
-    out = docs
-    columns = []
-    for i in range(slices):
+    if not slices:
+        return docs.withColumn(matches_col, F.array().cast(MATCH))
+
+    def index(i: int):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == i).orderBy("item", "text").collect()
-        index = spark.sparkContext.broadcast(Index(list(dict.fromkeys((r["item"], r["text"]) for r in part)), rule))
-        name = fresh(out, f"matches_{i}")
-        columns.append(name)
-        kind = T.StructType([*out.schema.fields, T.StructField(name, T._parse_datatype_string(MATCH))])
-        out = out.mapInArrow(_scan(index, out.columns.index(text_col), name), kind)
-    matches = F.flatten(F.array(*[F.col(c) for c in columns])) if columns else F.array().cast(MATCH)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], matches.alias(matches_col))
+        return spark.sparkContext.broadcast(Index(list(dict.fromkeys((r["item"], r["text"]) for r in part)), rule))
+
+    match = T.StructField(matches_col, T._parse_datatype_string(MATCH))
+    if slices == 1:
+        return docs.mapInArrow(_scan(index(0), docs.columns.index(text_col), matches_col), T.StructType([*docs.schema.fields, match]))
+    row = fresh(docs, "row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    hits = None
+    for i in range(slices):
+        texts = numbered.select(row, text_col)
+        found = texts.mapInArrow(_scan(index(i), 1, "found"), T.StructType([*texts.schema.fields, T.StructField("found", match.dataType)]))
+        found = cut(found.filter(F.size("found") > 0).select(row, "found"), "hits")
+        hits = found if hits is None else hits.union(found)
+    hits = hits.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("found")), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0)).alias(matches_col))
+    return numbered.join(hits, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(matches_col), F.array().cast(MATCH)).alias(matches_col))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One query ``opN_<name>`` for each training-data operator, and the pipeline."""
+"""One query ``opN_<name>`` for each training-data operator."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat
 from .ann import nearest_neighbours
 from .decontamination import find_contamination
@@ -101,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)}
 
 
 SQL: dict[str, str] = {}

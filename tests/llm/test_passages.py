@@ -5,7 +5,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from framequarry.llm.decontamination import Index, Rule, hold, normalise
+from framequarry.llm.decontamination import Index, Rule, find_contamination, hold, normalise
 
 from .conftest import sentence
 
@@ -88,3 +88,30 @@ def test_index_finds_what_a_search_of_every_passage_finds():
             if hold(np.lib.stride_tricks.sliding_window_view(c, m), codes, rule.budget(m), rule.run(m)):
                 want.add(i)
         assert found(index, text) == want
+
+
+def test_short_items_stand_exactly_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Forty-two!"), (2, "ok"), (3, "--"), (4, None)], "item_id long, text string")
+    rows = [(1, "the answer is forty two."), (2, "fortytwos"), (3, "is it OK, then"), (4, "okay"), (5, None), (6, "FORTY  TWO")]
+    out = {r.doc_id: [m.item_id for m in r.matches] for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [1]}
+
+
+def test_pieces_of_a_long_text_and_many_slices(spark, monkeypatch):
+    from framequarry.llm import decontamination
+
+    rng = random.Random(9)
+    items = [(i, sentence(rng, "de", 14)) for i in range(20)]
+    filler = lambda: sentence(rng, "en", rng.randint(100, 400))
+    text = " ".join(x for _, t in items for x in (filler(), t)) + " Σίσυφος ΣΊΣΥΦΟΣ"
+    docs = spark.createDataFrame([(1, text, "q"), (2, filler(), "q"), (3, None, None)], "doc_id long, text string, row string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = find_contamination(docs, bench).orderBy("doc_id").collect()
+    assert {m.item_id for m in want[0].matches} == set(range(20)) and want[1].matches == [] == want[2].matches
+    assert decontamination._matches(decontamination.Index(items, decontamination.Rule()), [text])[0] == [m.asDict() for m in want[0].matches]
+    monkeypatch.setattr(decontamination, "PIECE", 1500)
+    pieces = decontamination._matches(decontamination.Index(items, decontamination.Rule()), [text])[0]
+    assert {m["item_id"] for m in pieces} == set(range(20)) and all(any(p["item_id"] == m.item_id and abs(p["start"] - m.start) < 60 for p in pieces) for m in want[0].matches)
+    monkeypatch.setattr(decontamination, "SLICE", 400)
+    sliced = find_contamination(docs, bench).orderBy("doc_id").collect()
+    assert [r.asDict(True) for r in sliced] == [r.asDict(True) for r in want]
