@@ -2,6 +2,12 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; all but the last return the
 columns of ``docs``.  Its result is written and read again as the next one's docs.
+
+Defined cases: a null or empty text has quality 0 and goes in the first stage (so
+do all rows if the labels call most documents bad); rows with a null id stay until
+the mixture takes them like others; repeated rows stay together; benchmark items
+without letters or digits are not searched; columns that clash with names an
+operator uses pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
