@@ -135,8 +135,8 @@ def asof_prev(spark, sf_dir):
 
 
 VERSIONS = """
-WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 3 <> 0),
-     n AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 5 <> 0),
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderstatus <> 'P'),
+     n AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderstatus <> 'O'),
      c AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.v IS NULL THEN 'add' WHEN n.v IS NULL THEN 'remove' WHEN o.v <> n.v THEN 'move' END AS op, o.v AS old_value, n.v AS new_value
            FROM o FULL OUTER JOIN n ON o.o_orderkey = n.o_orderkey)
 """
@@ -145,8 +145,8 @@ WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FRO
 def _versions(spark, sf_dir):
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    old = rows.filter("o_orderkey % 3 <> 0").select("o_orderkey", cents.alias("v"))
-    new = rows.filter("o_orderkey % 5 <> 0").select("o_orderkey", (cents + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v"))
+    old = rows.filter("o_orderstatus <> 'P'").select("o_orderkey", cents.alias("v"))
+    new = rows.filter("o_orderstatus <> 'O'").select("o_orderkey", (cents + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v"))
     return trajectory.changes(old, new, "o_orderkey", "v")
 
 
@@ -247,14 +247,14 @@ def box_filter(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 25 AS high FROM part WHERE p_size = 1)
+WITH r AS (SELECT p_partkey, p_retailprice AS low, p_retailprice + 0.25 AS high FROM part)
 SELECT o_orderkey, p_partkey FROM orders JOIN r ON o_totalprice / 100 BETWEEN low AND high
 """)
 def range_join(spark, sf_dir):
     """Orders whose price in hundreds lies in a part's price range."""
     points = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"))
-    ranges = table(spark, sf_dir, "part", "p_partkey", "p_retailprice", "p_size").filter("p_size = 1").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 25).alias("high"))
-    return voxels.range_join(points, ranges, "x", "low", "high", 25.0).select("o_orderkey", "p_partkey")
+    ranges = table(spark, sf_dir, "part", "p_partkey", "p_retailprice").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 0.25).alias("high"))
+    return voxels.range_join(points, ranges, "x", "low", "high", 0.25).select("o_orderkey", "p_partkey")
 
 
 @query("""
@@ -432,12 +432,12 @@ def timing_table(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT unnest(range(2000)) AS idx) SELECT s.idx, c.c_name, c.c_acctbal FROM s LEFT JOIN customer c ON c.c_custkey = s.idx
+WITH s AS (SELECT unnest(range((SELECT max(c_custkey) + 1 FROM customer))) AS idx) SELECT s.idx, c.c_name, c.c_acctbal FROM s LEFT JOIN customer c ON c.c_custkey = s.idx
 """)
 def dense_frames(spark, sf_dir):
     """Every frame number, with its frame where there is one."""
     rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal").withColumnRenamed("c_custkey", "idx")
-    return features.dense_frames(rows, 2000)
+    return features.dense_frames(rows, (rows.agg(F.max("idx")).first()[0] or 0) + 1)
 
 
 @query("""
