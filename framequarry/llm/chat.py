@@ -17,6 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Elements that a running sum adds one by one; blocks of them are added as wholes.
+BLOCK = 256
+
+
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def running(sizes: Column) -> Column:
+    """For each element of an array<bigint> the sum of those before it."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("seen"))
+
+    def sums(x: Column, size) -> Column:
+        return F.aggregate(x, zero, lambda done, v: F.struct((done["at"] + size(v)).alias("at"), F.concat(done["seen"], F.array(done["at"])).alias("seen")))
+
+    def blocks(x: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / BLOCK).cast("int"), F.lit(0)))
+        return F.transform(first, lambda b: sums(F.slice(x, b * BLOCK + 1, BLOCK), lambda v: v))
+
+    def whole(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, sums(parts, lambda p: p["at"])["seen"], lambda p, before: F.transform(p["seen"], lambda v: v + before)))
+
+    return let(sizes, lambda x: let(blocks(x), whole))
 
 
 @dataclass(frozen=True)
@@ -147,17 +171,20 @@ class Template:
         return F.regexp_replace(x, r"(?s)\\(.)", "$1")
 
     def apply(self, turns: Column) -> tuple[Column, Column]:
-        """The formatted text, and the loss mask: (start, length) of learned texts in its code points."""
+        """The formatted text, and the loss mask: (start, length, turn) of learned texts in its code points.
+
+        Both take time in proportion to the turns and their texts.
+        """
         parts = F.transform(turns, lambda t: F.struct((t["role"] == self.learned).alias("learned"), F.concat(F.lit(self.start), self.escape(t["role"]), F.lit(self.middle)).alias("head"), self.escape(t["text"]).alias("text")))
         text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["text"], F.lit(self.end))), "")
         sizes = F.transform(parts, lambda p: F.struct(p["learned"].alias("learned"), F.length(p["head"]).cast("long").alias("head"), F.length(p["text"]).cast("long").alias("text")))
-        none = F.array().cast("array<struct<start:bigint,length:bigint>>")
 
-        def step(done: Column, p: Column) -> Column:
-            span = F.struct((done["at"] + p["head"]).alias("start"), p["text"].alias("length"))
-            return F.struct((done["at"] + p["head"] + p["text"] + len(self.end)).alias("at"), F.when(p["learned"], F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+        def spans(s: Column) -> Column:
+            starts = running(F.transform(s, lambda p: p["head"] + p["text"] + len(self.end)))
+            numbered = F.transform(F.arrays_zip(s.alias("s"), starts.alias("at")), lambda x, i: F.struct(x["s"]["learned"].alias("learned"), (x["at"] + x["s"]["head"]).alias("start"), x["s"]["text"].alias("length"), i.alias("turn")))
+            return F.transform(F.filter(numbered, lambda x: x["learned"]), lambda x: F.struct(x["start"], x["length"], x["turn"]))
 
-        return text, F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step)["spans"]
+        return text, let(sizes, spans)
 
     def read(self, text: Column) -> Column:
         """The turns of a formatted text."""
@@ -170,8 +197,16 @@ class Template:
         return F.transform(pieces, turn)
 
     def learned_text(self, text: Column, spans: Column) -> Column:
-        """All text under the loss mask, unescaped, nothing between."""
-        return F.array_join(F.transform(spans, lambda s: self.unescape(F.substring(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+        """All text under the loss mask, unescaped, nothing between.
+
+        A span is cut from its own turn's piece, so no span counts from the start of the text.
+        """
+
+        def cut(pieces: Column) -> Column:
+            starts = running(F.transform(pieces, lambda p: F.length(p).cast("long") + len(self.end)))
+            return let(starts, lambda at: F.transform(spans, lambda s: self.unescape(F.substring(pieces[s["turn"]], (s["start"] - at[s["turn"]] + 1).cast("int"), s["length"].cast("int")))))
+
+        return F.array_join(let(F.split(text, re.escape(self.end)), cut), "")
 
 
 def turn_records(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -185,6 +220,24 @@ def turn_records(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role
     return grouped.select(key, F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
 
 
+def pack_json(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
+    """``key``, ``record``: records of the ``messages`` layout as JSON texts of several layouts, as sources with mixed layouts deliver them.
+
+    A user's and an assistant's turn become ``prompt`` and ``completion``; of the
+    others, those with an even hash of the key become ``conversations`` (from,
+    value), unless a role is itself called human or gpt, and the rest stay
+    ``messages``.  Nothing is lost: the mapping that the fingerprint selects gives
+    the same turns back.  A JSON text may have 128 MiB (Spark's bound on a variant).
+    """
+    turns = F.col(f"{record}.messages")
+    pair = (F.size(turns) == 2) & (turns[0]["role"] == "user") & (turns[1]["role"] == "assistant")
+    named = F.coalesce(F.xxhash64(key) % 2 == 0, F.lit(False)) & ~F.exists(turns, lambda t: t["role"].isin("human", "gpt"))
+    said = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    shared = F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(said, t["role"]), t["role"]).alias("from"), t["content"].alias("value")))
+    layouts = F.when(pair, F.to_json(F.struct(turns[0]["content"].alias("prompt"), turns[1]["content"].alias("completion")))).when(named, F.to_json(F.struct(shared.alias("conversations"))))
+    return records.select(key, layouts.otherwise(F.to_json(record)).alias(record))
+
+
 def format_chat(records: DataFrame, record_col: str = "record", template: Template = Template(), mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with layout, turns, formatted text and loss_mask (all null for unknown records)."""
     known = canonical_turns(records, record_col, mappings)

@@ -67,12 +67,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -7, written by the template and read back."""
+    """Every conversation, and conversation -7, as JSON of mixed layouts, mapped by fingerprint, written by the template and read back."""
     control = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(control)
-    return chat.digests(chat.format_chat(chat.turn_records(rows)))
+    return chat.digests(chat.format_chat(chat.pack_json(chat.turn_records(rows))))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

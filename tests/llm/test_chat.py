@@ -50,3 +50,34 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.format_chat(chat.turn_records(df)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_json_of_mixed_layouts_maps_back(spark):
+    says = lambda i: [(i, 0, "user", f"a{i}\u0001\t\\\""), (i, 1, "assistant", None)]
+    rows = says(1) + says(2)[::-1] + [(i, t, r, f"{i} {t}") for i in range(3, 40) for t, r in enumerate(["system", "user", "assistant", "user"])]
+    rows += [(90, 0, "human", "x"), (91, 0, "gpt", ""), (92, 0, None, None), (None, 0, "tool", "é 😀")]
+    records = chat.turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    mixed = chat.format_chat(chat.pack_json(records))
+    assert {r.layout for r in mixed.select("layout").distinct().collect()} == {"messages", "conversations", "prompt_completion"}
+    key = lambda d: {r.conv_id: r for r in d.select("conv_id", "turns", "formatted", "loss_mask").collect()}
+    assert key(mixed) == key(chat.format_chat(records))
+
+
+def test_very_many_turns_in_one_conversation(spark):
+    n = 50_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('<|end|>', id) as text")
+    r = chat.digests(chat.format_chat(chat.pack_json(chat.turn_records(rows)))).first()
+    learned = "".join(f"<|end|>{i}" for i in range(1, n, 2))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.range(1).select(chat.running(F.expr(f"transform(if({n} = 0, cast(array() as array<int>), sequence(1, greatest({n}, 1))), x -> cast(x as bigint))")).alias("s")).first()
+        assert list(row.s) == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_record_table_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, '{"prompt": "a", "completion": "b"}', "old", "old", "old")], "conv_id long, record string, turns string, layout string, formatted string")
+    r = chat.format_chat(df).first()
+    assert (r.layout, [t.text for t in r.turns], "b" in r.formatted) == ("prompt_completion", ["a", "b"], True)
