@@ -39,6 +39,10 @@ class Codes:
     longest: float
     radius: int
 
+    @property
+    def bits(self) -> int:
+        return self.rotation.shape[1]
+
     def encode(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Codes as bytes.  A query has no lengthening component: its direction alone decides."""
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
@@ -120,12 +124,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _search(codes, k: int):
+def _search(codes, k: int, radius: int):
     """Rows (pair, is_query, key, vector, ids), sorted by pair and kind, vectors first -> (key, found) for each query: its best rows of the block."""
 
-    def answers(keys: list[int], queries: np.ndarray, ids: list[np.ndarray], x: np.ndarray) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+    def answers(keys: list[str], queries: np.ndarray, ids: list[np.ndarray], x: np.ndarray) -> Iterator[tuple[str, list[tuple[int, float]]]]:
         c: Codes = codes.value
-        tables = Tables(c.encode(x), c.radius)
+        tables = Tables(c.encode(x), radius)
         counts = np.array([len(i) for i in ids])
         for key, q, code in zip(keys, queries, c.encode(queries, query=True)):
             near = tables.within(code)
@@ -147,7 +151,7 @@ def _search(codes, k: int):
                 ends = np.concatenate([[0], np.cumsum([len(f) for _, f in got])]).astype(np.int32)
                 flat = [pair for _, f in got for pair in f]
                 found = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int64()), pa.array([p[1] for p in flat], pa.float64())], names=["vec_id", "score"])
-                yield pa.RecordBatch.from_arrays([pa.array([k_ for k_, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), found)], names=["key", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([k_ for k_, _ in got], pa.string()), pa.ListArray.from_arrays(pa.array(ends), found)], names=["key", "found"])
 
         for batch in batches:
             pairs, asks, own = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -181,11 +185,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
     can exceed, so a vector that a third of all rows hold costs no more than
     another.  Vectors are dealt in blocks of about ROWS, queries in blocks of about
     QUERIES; one task searches one pair of blocks and keeps k + 1 rows a query.
+    Queries that find no k + 1 rows within the radius ask again with twice the
+    radius, until they have them or the radius covers all bits, so an isolated
+    vector gets as many neighbours as any other.
 
     Defined cases: vectors null, zero or holding null or non-finite components,
     rows without id, and vectors of another length than most take no part; ties go
     to the smaller id; an id that repeats is one candidate per row; with no more
-    than k candidates in reach all are returned; an empty table gives no rows; other
+    than k candidates all are returned; an empty table gives no rows; other
     columns are ignored.
     """
     spark = vectors.sparkSession
@@ -194,8 +201,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if size is None:
         return empty
-    # + 0.0 makes -0.0 and 0.0 one value
-    rows = cut(rows.filter(F.size("vector") == size["n"]).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0))).withColumn("key", F.xxhash64("vector")), "vectors")
+    # the key is a hash of 128 bits: two of 10^10 vectors share one with a chance below 10^-18; + 0.0 makes -0.0 and 0.0 one value
+    rows = cut(rows.filter(F.size("vector") == size["n"]).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0))).withColumn("key", F.concat_ws(" ", F.xxhash64(F.lit(1), "vector"), F.xxhash64(F.lit(2), "vector"))), "vectors")
     sample = lowest_hash(rows.select("id", "vector"), SAMPLE).toArrow()
     codes = learn(np.unique(_matrix(sample.column("vector").combine_chunks()), axis=0), k, recall, bits)
     shared = spark.sparkContext.broadcast(codes)
@@ -204,16 +211,31 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
     indexed = rows.withColumn("r", F.row_number().over(one)).filter(F.col("r") <= k + 1).groupBy("key", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = rows.filter(F.coalesce("asks", F.lit(False))).groupBy("key", "vector").agg(F.count("*").alias("n"))
     blocks = max(1, -(-rows.count() // ROWS))
-    asking = max(1, -(-rows.filter("asks").count() // QUERIES))
+    top, radius = None, codes.radius
+    while True:
+        found = cut(_pass(indexed, asked, shared, k + 1, radius, blocks), "neighbours")
+        enough = F.size("top") > k
+        top = found if top is None else top.join(found, "key", "left_anti").unionByName(found)
+        if radius >= codes.bits:
+            break
+        asked = cut(asked.join(found.filter(enough), "key", "left_anti"), "short_queries")
+        if asked.isEmpty():
+            break
+        radius = min(codes.bits, max(1, 2 * radius))
+    answered = split_join(rows.filter("asks").select(F.col("id").alias("query_id"), "key"), top, "key")
+    others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return answered.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _pass(indexed: DataFrame, asked: DataFrame, codes, k: int, radius: int, blocks: int) -> DataFrame:
+    """key, top: the k best rows within the radius of every asked vector that has any."""
+    asking = max(1, -(-asked.count() // QUERIES))
     deal = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n)).cast("long")
     left = indexed.select(deal(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("a"), F.lit(False).alias("asks"), "key", "vector", "ids")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), deal(asking, 2).alias("a"), F.lit(True).alias("asks"), "key", "vector", F.array().cast("array<bigint>").alias("ids"))
     both = left.union(right).select((F.col("b") * asking + F.col("a")).alias("pair"), "asks", "key", "vector", "ids")
     pairs = both.repartition(min(blocks * asking * 2, 4096), "pair").sortWithinPartitions("pair", "asks")
-    found = pairs.mapInArrow(_search(shared, k + 1), "key long, found array<struct<vec_id:bigint,score:double>>")
+    found = pairs.mapInArrow(_search(codes, k, radius), "key string, found array<struct<vec_id:bigint,score:double>>")
     best = found.select("key", F.explode("found").alias("x")).select("key", "x.vec_id", "x.score")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
-    top = best.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    answered = split_join(rows.filter("asks").select(F.col("id").alias("query_id"), "key"), top, "key")
-    others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return answered.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return best.withColumn("r", rank).filter(F.col("r") <= k).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))

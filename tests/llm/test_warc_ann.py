@@ -104,3 +104,29 @@ def test_codes_keep_the_nearest_close():
     x = np.random.default_rng(3).normal(size=(400, 16))
     codes = learn(x, 5, 0.9, 128)
     assert 0 < codes.radius < 128 and codes.encode(x).shape == (400, 16)
+
+
+def test_isolated_vectors_of_clustered_data_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([centres[i % 6] + rng.normal(size=16) * 0.01 for i in range(400)] + [rng.normal(size=16) * 0.8 for _ in range(12)]).reshape(-1, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, (F.col("vec_id") >= 396) | (F.col("vec_id") % 40 == 0), k=20).collect()
+    counts = {q: sum(r.query_id == q for r in got) for q in {r.query_id for r in got}}
+    assert set(counts) == {*range(396, 412), *range(0, 396, 40)} and set(counts.values()) == {20}
+
+
+def test_repeated_id_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], "a", 1), (1, [0.9, 0.1], "b", 2), (2, [0.5, 0.5], "c", 3), (None, [1.0, 1.0], "d", 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, rank int")
+    got = nearest_neighbours(df, F.col("vec_id") == 2, k=5).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(2, 1, 1), (2, 2, 1)]
+
+
+def test_recall_at_the_querys_own_settings(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()}
+    want = {(q, int(i)) for q in range(0, 1500, 20) for i in [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20]}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == 75 * 20
