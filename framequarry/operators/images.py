@@ -15,15 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def per_image(frames: DataFrame, column: str, out: str, width: int, height: int, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``frames`` with ``f`` of the image in ``column``; a null or ill-sized image gives null."""
+def per_image(frames: DataFrame, column: str | list[str], out: str, width: int, height: int, f: Callable[..., np.ndarray]) -> DataFrame:
+    """``frames`` with ``f`` of the image in ``column``, or of the images in several columns; a null or ill-sized image gives null.
+
+    An array of k numbers a pixel reaches ``f`` as (height, width, k).
+    """
+    columns = [column] if isinstance(column, str) else column
+    pixels = width * height
+
+    def shaped(x) -> np.ndarray | None:
+        if x is None or not len(x) or len(x) % pixels:
+            return None
+        image = np.asarray(x, float)
+        return image.reshape(height, width) if len(x) == pixels else image.reshape(height, width, -1)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in images:
-            yield pd.Series([np.asarray(f(np.asarray(x, float).reshape(height, width)), float).ravel().tolist() if x is not None and len(x) == width * height else None for x in part], dtype=object)
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for part in parts:
+            images = [[shaped(x) for x in row] for row in (zip(part) if isinstance(part, pd.Series) else zip(*part))]
+            yield pd.Series([np.asarray(f(*row), float).ravel().tolist() if all(x is not None for x in row) else None for row in images], dtype=object)
 
-    return frames.withColumn(out, run(column))
+    return frames.withColumn(out, run(*columns))
 
 
 def shifted(image: np.ndarray, dx: int, dy: int) -> np.ndarray:
@@ -125,3 +137,86 @@ def extrema(dog: list[np.ndarray], least: float) -> list[tuple[int, int, int]]:
         hit = (np.abs(centre) > least) & ((centre > others).all(0) | (centre < others).all(0))
         found += [(level, int(y), int(x)) for y, x in zip(*np.nonzero(hit))]
     return found
+
+
+def adaptive_smooth(image: np.ndarray, depth: np.ndarray, sigma: float, spread: float, factor: float = 1.0) -> np.ndarray:
+    """Gaussian mean whose sigma at a pixel is ``sigma * factor / depth``, over neighbours with a depth within ``spread``; the depth itself may be the image."""
+    wide = sigma * factor / np.where(depth > 0, depth, np.nan)
+    r = np.where(np.isfinite(wide), np.ceil(2 * wide), -1)
+    up, down = np.zeros(image.shape), np.zeros(image.shape)
+    for dy in range(-int(r.max(initial=0)), int(r.max(initial=0)) + 1):
+        for dx in range(-int(r.max(initial=0)), int(r.max(initial=0)) + 1):
+            v, d = shifted(image, dx, dy), shifted(depth, dx, dy)
+            ok = (np.maximum(abs(dx), abs(dy)) <= r) & np.isfinite(v) & (np.abs(d - depth) < spread)
+            weight = np.where(ok, np.exp(-(dx * dx + dy * dy) / (2 * np.where(ok, wide, 1) ** 2)), 0)
+            up += np.where(ok, v, 0) * weight
+            down += weight
+    return np.where(down > 0, up / np.where(down > 0, down, 1), np.nan)
+
+
+def planes(image: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``f`` of each plane of an (h, w, k) image: smoothing and derivatives of positions and colours."""
+    return np.stack([f(image[..., i]) for i in range(image.shape[-1])], -1)
+
+
+def smooth_planes(image: np.ndarray, sigma: float, spread: float | None = None) -> np.ndarray:
+    """Gaussian mean of all planes; the difference of the last plane (for positions, the depth) limits it softly."""
+    return planes(image, lambda p: smooth(p, sigma, spread, True, image[..., -1]))
+
+
+def derivatives(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel derivatives of every plane, in x and in y."""
+    return planes(points, lambda p: sobel(p)[0]), planes(points, lambda p: sobel(p)[1])
+
+
+def sobel_normals(points: np.ndarray) -> np.ndarray:
+    """Unit normals from Sobel derivatives, x derivative times y derivative; the middle point itself may be missing."""
+    ring = {(dx, dy): np.stack([shifted(points[..., i], dx, dy) for i in range(3)], -1) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy}
+    du = sum(w * (ring[1, dy] - ring[-1, dy]) for dy, w in ((-1, 1), (0, 2), (1, 1)))
+    dv = sum(w * (ring[dx, 1] - ring[dx, -1]) for dx, w in ((-1, 1), (0, 2), (1, 1)))
+    n = np.cross(du, dv)
+    length = np.linalg.norm(n, axis=-1, keepdims=True)
+    return np.where(length > 0, n / np.where(length > 0, length, 1), np.nan)
+
+
+def dilate(depth: np.ndarray, original: np.ndarray, radius: int = 3, far: float = 0.05) -> np.ndarray:
+    """1 where more than a 36th (rounded down) of the window has a depth within ``far`` of the original pixel, else missing."""
+    near = np.zeros(depth.shape)
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            v = shifted(depth, dx, dy)
+            near += (v != 0) & (np.abs(v - original) < far)
+    return np.where(near > (2 * radius + 1) ** 2 // 36, 1.0, np.nan)
+
+
+def edge_mask(depth: np.ndarray, far: float) -> np.ndarray:
+    """0 where one of the eight neighbours' depths differs by more than ``far``, else 1."""
+    jump = np.zeros(depth.shape, bool)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            jump |= np.abs(shifted(depth, dx, dy) - depth) > far
+    return np.where(jump, 0.0, 1.0)
+
+
+def least_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The smaller of two masks at each pixel."""
+    return np.minimum(first, second)
+
+
+def strong_gradients(gx: np.ndarray, gy: np.ndarray, least: float = 0.005) -> np.ndarray:
+    """Length of the gradient where it exceeds ``least``, else missing."""
+    m = np.hypot(gx, gy)
+    return np.where(m > least, m, np.nan)
+
+
+def upsample(image: np.ndarray, doublings: int = 1) -> np.ndarray:
+    """The image enlarged by 2^doublings, linear between pixels, the last row and column held."""
+    k = 1 << doublings
+
+    def along(x: np.ndarray) -> np.ndarray:
+        at = np.arange(len(x) * k) / k
+        low = at.astype(int)
+        part = (at - low).reshape(-1, *[1] * (x.ndim - 1))
+        return x[low] * (1 - part) + x[np.minimum(low + 1, len(x) - 1)] * part
+
+    return along(along(image).T).T

@@ -72,9 +72,9 @@ def depth_samples(pixels: DataFrame, poses: DataFrame, camera: Camera, size: flo
     for k in BLOCK_KEYS:
         boxes = boxes.withColumn(k, F.explode(k))
     blocks = boxes.select("frame", *[F.col(k).cast("int").alias(k) for k in BLOCK_KEYS]).distinct()
-    cells = blocks.withColumn("li", F.explode(F.sequence(F.lit(0), F.lit(voxel.BLOCK**3 - 1)))).join(poses.select("frame", "transform"), "frame")
+    cells = blocks.withColumn("li", F.explode(F.sequence(F.lit(0), F.lit(voxel.BLOCK**3 - 1)))).join(poses.select("frame", invert_rigid(F.col("transform")).alias("inverse")), "frame")
     world = [voxel.voxel_to_world(voxel.block_to_voxel(F.col(k)) + at, size) for k, at in zip(BLOCK_KEYS, voxel.local_position(F.col("li")))]
-    placed = cells.withColumn("p", transform_point(invert_rigid(F.col("transform")), *world))
+    placed = cells.withColumn("p", transform_point(F.col("inverse"), *world))
     u, v = camera.pixel(F.col("p.x"), F.col("p.y"), F.col("p.z"))
     shown = placed.select("frame", *VOXEL_KEYS, u.alias("u"), v.alias("v"), F.col("p.z").alias("pz")).filter(camera.inside(F.col("u"), F.col("v")))
     hit = shown.join(pixels.filter((F.col("depth") > 0) & (F.col("depth") < far)), ["frame", "u", "v"])

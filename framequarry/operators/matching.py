@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,3 +50,53 @@ def mutual_ratio_matches(left: DataFrame, right: DataFrame, longest: float = 0.7
 def best_matches(matches: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each group in a total order; the rank is kept."""
     return matches.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)
+
+
+def earlier_pairs(frames: DataFrame, reach: int | None = None) -> DataFrame:
+    """(frame) -> i, j: every frame j with each valid earlier frame i, or only those up to ``reach`` before it.
+
+    Frames without ``valid`` (if that column is there) are in no pair.  Without
+    ``reach`` the number of pairs is half the square of the frames, by meaning; with
+    it every frame names its predecessors and they meet by an equi-join.
+    """
+    kept = (frames.filter("valid") if "valid" in frames.columns else frames).select(F.col("frame").cast("long").alias("frame")).distinct()
+    if reach is None:
+        a, b = kept.withColumnRenamed("frame", "i"), kept.withColumnRenamed("frame", "j")
+        return a.join(b, F.col("i") < F.col("j"))
+    wanted = kept.select(F.col("frame").alias("j"), F.explode(F.sequence(F.col("frame") - reach, F.col("frame") - 1)).alias("frame"))
+    return wanted.join(kept, "frame").select(F.col("frame").alias("i"), "j")
+
+
+def match_frames(keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8) -> DataFrame:
+    """(frame, key, descriptor) and (i, j) -> i, j, key_i, key_j, dist: mutual best matches under the ratio test, for all pairs of frames at once.
+
+    A frame's keypoints, a bounded number, travel as one row.  Pairs are spread
+    over the tasks and each is one product of two matrices; nothing is looped on
+    the driver.  Ties go to the smaller key; null descriptors take no part.
+    """
+    point = F.struct(F.col("key").cast("long").alias("key"), F.col("descriptor").cast("array<double>").alias("d"))
+    packed = keypoints.filter(F.col("key").isNotNull() & F.col("descriptor").isNotNull()).groupBy(F.col("frame").cast("long").alias("frame")).agg(F.sort_array(F.collect_list(point)).alias("p"))
+    packed = packed.select("frame", F.transform("p", lambda x: x["key"]).alias("k"), F.flatten(F.transform("p", lambda x: x["d"])).alias("d"))
+    side = lambda n: packed.select(F.col("frame").alias(n), F.col("k").alias(f"k{n}"), F.col("d").alias(f"d{n}"))
+    both = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).join(side("i"), "i").join(side("j"), "j").select("i", "j", "ki", "di", "kj", "dj")
+
+    def nearest(far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = far.argmin(1)
+        first = far[np.arange(len(far)), best]
+        second = np.partition(far, 1, axis=1)[:, 1] if far.shape[1] > 1 else np.full(len(far), np.inf)
+        return best, (first < longest) & (first < ratio * second)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                ki, di, kj, dj = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(2, 6))
+                if not len(ki) or not len(kj) or len(di) // len(ki) != len(dj) // len(kj):
+                    continue
+                far = np.arccos(np.clip(di.reshape(len(ki), -1) @ dj.reshape(len(kj), -1).T, -1, 1))
+                (right, fine), (left, good) = nearest(far), nearest(far.T)
+                rows = np.flatnonzero(fine & good[right] & (left[right] == np.arange(len(ki))))
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, j)), pa.array(ki[rows]), pa.array(kj[right[rows]]), pa.array(far[rows, right[rows]])], names=["i", "j", "key_i", "key_j", "dist"])
+
+    return both.mapInArrow(run, "i long, j long, key_i long, key_j long, dist double")

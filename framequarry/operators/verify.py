@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.camera import Camera, transform_point
+from framequarry.functions.camera import Camera, invert_rigid, transform_point
 
 
 def projective_join(pixels: DataFrame, pairs: DataFrame, camera: Camera, far: float = 0.15, cosine: float = 0.97) -> DataFrame:
@@ -63,3 +63,39 @@ def precision_recall(pairs: DataFrame) -> DataFrame:
     """Counts of (detected, correct, possible) as precision and recall; null where the divisor is 0."""
     sums = pairs.agg(*[F.count_if(F.col(c)).alias(c) for c in ("detected", "correct", "possible")])
     return sums.select("*", F.try_divide("correct", "detected").alias("precision"), F.try_divide("detected", "possible").alias("recall"))
+
+
+def evaluation_counts(pairs: DataFrame, matches: DataFrame, worst2: float) -> DataFrame:
+    """(i, j, overlaps) and (i, j, error2) -> j, total, detected, correct: of the pairs that truly overlap, those matched, and those matched without an error of ``worst2`` or more."""
+    worst = matches.groupBy("i", "j").agg(F.max("error2").alias("worst2"))
+    met = pairs.filter("overlaps").join(worst, ["i", "j"], "left")
+    return met.groupBy("j").agg(F.count("*").alias("total"), F.count("worst2").alias("detected"), F.count_if(F.col("worst2") < worst2).alias("correct"))
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
+    """i, j, n, share: links of each pair, also as a share of the most that a pair has."""
+    counts = links.groupBy("i", "j").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.max("n").alias("most")))).select("i", "j", "n", (F.col("n") / F.col("most")).alias("share"))
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """node, others: the different nodes that a node has a link with, in order, in either direction."""
+    both = links.select(F.col("i").alias("node"), F.col("j").alias("other")).union(links.select("j", "i")).filter("node <> other").distinct()
+    return both.groupBy("node").agg(F.sort_array(F.collect_list("other")).alias("others"))
+
+
+def agreeing_depth(keys: DataFrame, poses: DataFrame, pixels: DataFrame, camera: Camera, close: float = 0.05) -> DataFrame:
+    """Keys (key, chunk, u, v, depth in the chunk's first frame) -> key, depth, frames: the mean with every other frame that sees the same surface.
+
+    ``poses``: chunk, frame, transform into the first frame; ``pixels``: frame, u,
+    v, depth.  A frame agrees if its depth where the key falls is within ``close``;
+    its own point, carried back, counts.
+    """
+    at = camera.back_project(F.col("u"), F.col("v"), F.col("depth"))
+    seen = keys.join(poses.select("chunk", "frame", "transform"), "chunk").withColumn("p", transform_point(invert_rigid(F.col("transform")), at["x"], at["y"], at["z"]))
+    u, v = camera.project(F.col("p.x"), F.col("p.y"), F.col("p.z"))
+    seen = seen.select("key", "frame", "transform", F.col("p.z").alias("z"), u.alias("fu"), v.alias("fv"), F.round(u).cast("int").alias("u"), F.round(v).cast("int").alias("v"))
+    met = seen.join(pixels.select("frame", "u", "v", "depth"), ["frame", "u", "v"]).filter(F.abs(F.col("depth") - F.col("z")) < close)
+    back = camera.back_project(F.col("fu"), F.col("fv"), F.col("depth"))
+    depths = met.select("key", transform_point(F.col("transform"), back["x"], back["y"], back["z"])["z"].alias("depth"))
+    return keys.select("key", "depth").unionByName(depths).groupBy("key").agg(F.avg("depth").alias("depth"), F.count("*").alias("frames"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.functions import camera, voxel
-from framequarry.operators import chunks, features, graph, matching, rigid, trajectory, verify, voxels
+from framequarry.operators import chunks, features, graph, integration, matching, raster, rigid, trajectory, verify, voxels
 from framequarry.sources import sinks
 from framequarry.streaming import online
 
@@ -460,6 +460,109 @@ def overlapping_pairs(spark, sf_dir):
     return verify.overlapping_pairs(links.select("i", "j").distinct(), links).select("i", "j", F.col("hits").alias("n"))
 
 
+@query("""
+WITH px AS (SELECT l_linenumber AS frame, CAST(l_partkey % 64 AS INT) AS u, CAST(l_suppkey % 48 AS INT) AS v, 5e-1 + avg(l_quantity) / 25 AS depth FROM lineitem GROUP BY 1, 2, 3),
+grid AS (SELECT x, y, z, x * 1e-1 AS wx, y * 1e-1 AS wy, z * 1e-1 AS wz FROM range(-40, 60) a(x), range(-40, 41) b(y), range(1, 40) c(z)),
+s AS (SELECT frame, x, y, z, wz, CAST(trunc((wx - frame * 5e-2) * 6e1 / wz + 3.15e1 + 5e-1) AS INT) AS u, CAST(trunc(wy * 6e1 / wz + 2.35e1 + 5e-1) AS INT) AS v FROM grid, (SELECT DISTINCT frame FROM px))
+SELECT CAST(x AS INT) AS vx, CAST(y AS INT) AS vy, CAST(z AS INT) AS vz, round(avg(depth - wz), 6) + 0e0 AS sdf, CAST(count(*) AS DOUBLE) AS weight
+FROM s JOIN px USING (frame, u, v) WHERE depth < 2.4e0 AND abs(depth - wz) < depth * 2e-2 + 6e-2 GROUP BY 1, 2, 3
+""")
+def integrate_frames(spark, sf_dir):
+    """Depth images, one a line number, fused into voxels; the SQL looks every voxel of the room up in every image."""
+    rows = table(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    pixels = rows.groupBy(F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 64).cast("int").alias("u"), (F.col("l_suppkey") % 48).cast("int").alias("v")).agg((0.5 + F.avg("l_quantity") / 25).alias("depth"))
+    eye = [F.lit(float(i % 5 == 0)) for i in range(16)]
+    poses = rows.select(F.col("l_linenumber").alias("frame")).distinct().withColumn("transform", F.array(*eye[:3], F.col("frame") * 0.05, *eye[4:]))
+    samples = integration.depth_samples(pixels, poses, camera.Camera(60.0, 60.0, 31.5, 23.5, 64, 48), 0.1, far=2.4)
+    at = [F.col(b) * voxel.BLOCK + o for b, o in zip(integration.BLOCK_KEYS, voxel.local_position(F.col("li")))]
+    return integration.integrate(samples).select(*[a.cast("int").alias(n) for a, n in zip(at, ("vx", "vy", "vz"))], (F.round("sdf", 6) + 0.0).alias("sdf"), "weight")
+
+
+GRID = "WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS vx, CAST(l_linenumber AS BIGINT) AS vy, CAST(round(l_discount * 100) AS BIGINT) AS vz, avg(l_extendedprice) AS sdf FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query(GRID + """
+, p AS (SELECT o_orderkey AS id, (o_orderkey % 490) / 1e1 AS x, 1 + (o_custkey % 60) / 1e1 AS y, (o_orderkey % 97) / 1e1 AS z FROM orders)
+SELECT id, round(sum(sdf * CASE WHEN ox = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END * CASE WHEN oy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE WHEN oz = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END), 6) AS sdf
+FROM p, range(2) a(ox), range(2) b(oy), range(2) c(oz) JOIN g ON g.vx = CAST(floor(x) AS BIGINT) + ox AND g.vy = CAST(floor(y) AS BIGINT) + oy AND g.vz = CAST(floor(z) AS BIGINT) + oz GROUP BY id HAVING count(*) = 8
+""")
+def trilinear_sample(spark, sf_dir):
+    """A grid of prices sampled between its points; no row where one of the eight is missing."""
+    rows = table(spark, sf_dir, "lineitem", "l_quantity", "l_linenumber", "l_discount", "l_extendedprice")
+    grid = rows.groupBy(F.col("l_quantity").cast("long").alias("vx"), F.col("l_linenumber").cast("long").alias("vy"), F.round(F.col("l_discount") * 100).cast("long").alias("vz")).agg(F.avg("l_extendedprice").alias("sdf"), F.count("*").alias("weight"))
+    points = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 490) / 10.0).alias("x"), (1 + (F.col("o_custkey") % 60) / 10.0).alias("y"), ((F.col("o_orderkey") % 97) / 10.0).alias("z"))
+    return integration.trilinear(points, grid, 1.0).select("id", F.round("sdf", 6).alias("sdf"))
+
+
+@query("""
+WITH d AS (SELECT CAST(a.label AS BIGINT) AS i, CAST(b.label AS BIGINT) AS j, a.vec_id AS ki, b.vec_id AS kj, acos(greatest(-1.0, least(1.0, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))) AS dist
+           FROM embeddings a JOIN embeddings b ON a.label < b.label)
+, r AS (SELECT *, row_number() OVER (PARTITION BY i, j, ki ORDER BY dist, kj) AS rk, lead(dist) OVER (PARTITION BY i, j, ki ORDER BY dist, kj) AS second FROM d)
+, c AS (SELECT *, row_number() OVER (PARTITION BY i, j, kj ORDER BY dist, ki) AS rk, lead(dist) OVER (PARTITION BY i, j, kj ORDER BY dist, ki) AS second FROM d)
+SELECT r.i, r.j, r.ki AS key_i, r.kj AS key_j, round(r.dist, 8) AS dist FROM r JOIN c ON r.i = c.i AND r.j = c.j AND r.ki = c.ki AND r.kj = c.kj
+WHERE r.rk = 1 AND c.rk = 1 AND r.dist < 1.5 AND (r.second IS NULL OR r.dist < 0.98 * r.second) AND (c.second IS NULL OR c.dist < 0.98 * c.second)
+""")
+def match_frames(spark, sf_dir):
+    """Every frame's keypoints against those of all earlier frames."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("label").alias("frame"), F.col("vec_id").alias("key"), F.col("embedding").alias("descriptor"))
+    found = matching.match_frames(points, matching.earlier_pairs(points.select("frame")), 1.5, 0.98)
+    return found.withColumn("dist", F.round("dist", 8))
+
+
+@query("""
+SELECT user_id AS frame, level, CAST(floor((event_id % 64) / pow(2, level)) AS BIGINT) AS u, CAST(floor((event_id // 64 % 48) / pow(2, level)) AS BIGINT) AS v, count(*) AS n
+FROM events, (SELECT unnest([1, 2, 3]) AS level) GROUP BY 1, 2, 3, 4
+""")
+def presence_pyramid(spark, sf_dir):
+    """How many of a frame's pixels lie in cells of three sizes."""
+    return raster.presence(_event_pixels(spark, sf_dir), ["frame"], 3)
+
+
+def _event_pixels(spark, sf_dir):
+    """Each user's events as pixels of 64 x 48."""
+    at = F.floor(F.col("event_id") / 64)
+    return table(spark, sf_dir, "events", "user_id", "event_id", "value").select(F.col("user_id").alias("frame"), (F.col("event_id") % 64).alias("u"), (at % 48).alias("v"), "value")
+
+
+@query("""
+SELECT user_id AS frame, CAST(floor((event_id % 64) / 2) AS BIGINT) AS u, CAST(floor((event_id // 64 % 48) / 2) AS BIGINT) AS v,
+       count(*) FILTER (value > 50) > 0 AS some, count(*) FILTER (value > 50) = 4 AS every FROM events GROUP BY 1, 2, 3
+""")
+def patch_flags(spark, sf_dir):
+    """Whether some, and whether all, pixels of each patch are set."""
+    return raster.patches(_event_pixels(spark, sf_dir), ["frame"], F.col("value") > 50)
+
+
+LINKS = "WITH l AS (SELECT o_custkey % 50 AS i, o_orderkey % 50 AS j, o_totalprice, o_orderstatus FROM orders)"
+
+
+def _order_links(spark, sf_dir):
+    return table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus").select((F.col("o_custkey") % 50).alias("i"), (F.col("o_orderkey") % 50).alias("j"), "o_totalprice", "o_orderstatus")
+
+
+@query(LINKS + """
+, p AS (SELECT i, j FROM l GROUP BY i, j HAVING max(o_totalprice) > 200000), m AS (SELECT i, j, max(o_totalprice / 1e6) AS worst FROM l WHERE o_orderstatus = 'F' GROUP BY i, j)
+SELECT p.j, count(*) AS total, count(m.worst) AS detected, count(CASE WHEN m.worst < 3e-1 THEN 1 END) AS correct FROM p LEFT JOIN m ON p.i = m.i AND p.j = m.j GROUP BY p.j
+""")
+def evaluation_counts(spark, sf_dir):
+    """Pairs that overlap, are matched, and are matched rightly, for each frame."""
+    links = _order_links(spark, sf_dir)
+    pairs = links.groupBy("i", "j").agg((F.max("o_totalprice") > 200000).alias("overlaps"))
+    return verify.evaluation_counts(pairs, links.filter("o_orderstatus = 'F'").select("i", "j", (F.col("o_totalprice") / 1e6).alias("error2")), 0.3)
+
+
+@query(LINKS + " SELECT i, j, count(*) AS n, round(count(*) / max(count(*)) OVER (), 9) AS share FROM l GROUP BY i, j")
+def pair_counts(spark, sf_dir):
+    """Links of each pair of frames, also as a share of the most."""
+    return verify.pair_counts(_order_links(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(LINKS + ", b AS (SELECT i AS node, j AS other FROM l WHERE i <> j UNION SELECT j, i FROM l WHERE i <> j) SELECT node, count(*) AS n, min(other) AS first, max(other) AS last FROM b GROUP BY node")
+def linked_neighbours(spark, sf_dir):
+    """How many different frames each frame is linked with, the first and the last."""
+    return verify.neighbours(_order_links(spark, sf_dir)).select("node", F.size("others").cast("long").alias("n"), F.col("others")[0].alias("first"), F.element_at("others", -1).alias("last"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
