@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> None:
     """Where no checkpoint folder is set, that of ``spark.checkpoint.dir``; a local master may do with a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and then by its label's label, so long chains shrink fast.  Rounds are
     checkpointed: set ``spark.checkpoint.dir`` to a folder that executors share.
     """
-    _checkpoint_folder(edges.sparkSession)
+    checkpoint_folder(edges.sparkSession)
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")).checkpoint()
     for _ in range(rounds):
