@@ -478,7 +478,7 @@ def integrate_frames(spark, sf_dir):
     return integration.integrate(samples).select(*[a.cast("int").alias(n) for a, n in zip(at, ("vx", "vy", "vz"))], (F.round("sdf", 6) + 0.0).alias("sdf"), "weight")
 
 
-GRID = "WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS vx, CAST(l_linenumber AS BIGINT) AS vy, CAST(round(l_discount * 100) AS BIGINT) AS vz, avg(l_extendedprice) AS sdf FROM lineitem GROUP BY 1, 2, 3)"
+GRID = "WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS vx, CAST(l_linenumber AS BIGINT) AS vy, CAST(round(l_discount * 100) AS BIGINT) AS vz, min(l_extendedprice) AS sdf FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query(GRID + """
@@ -487,9 +487,9 @@ SELECT id, round(sum(sdf * CASE WHEN ox = 1 THEN x - floor(x) ELSE 1 - (x - floo
 FROM p, range(2) a(ox), range(2) b(oy), range(2) c(oz) JOIN g ON g.vx = CAST(floor(x) AS BIGINT) + ox AND g.vy = CAST(floor(y) AS BIGINT) + oy AND g.vz = CAST(floor(z) AS BIGINT) + oz GROUP BY id HAVING count(*) = 8
 """)
 def trilinear_sample(spark, sf_dir):
-    """A grid of prices sampled between its points; no row where one of the eight is missing."""
+    """A grid of lowest prices sampled between its points; no row where one of the eight is missing."""
     rows = table(spark, sf_dir, "lineitem", "l_quantity", "l_linenumber", "l_discount", "l_extendedprice")
-    grid = rows.groupBy(F.col("l_quantity").cast("long").alias("vx"), F.col("l_linenumber").cast("long").alias("vy"), F.round(F.col("l_discount") * 100).cast("long").alias("vz")).agg(F.avg("l_extendedprice").alias("sdf"), F.count("*").alias("weight"))
+    grid = rows.groupBy(F.col("l_quantity").cast("long").alias("vx"), F.col("l_linenumber").cast("long").alias("vy"), F.round(F.col("l_discount") * 100).cast("long").alias("vz")).agg(F.min("l_extendedprice").alias("sdf"), F.count("*").alias("weight"))
     points = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 490) / 10.0).alias("x"), (1 + (F.col("o_custkey") % 60) / 10.0).alias("y"), ((F.col("o_orderkey") % 97) / 10.0).alias("z"))
     return integration.trilinear(points, grid, 1.0).select("id", F.round("sdf", 6).alias("sdf"))
 
