@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .ann import nearest_neighbours
+from .codes import compress
 from .decontamination import find_contamination
 from .language import identify_languages, train_languages
 from .mixing import mix_sources
@@ -98,8 +99,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector: four parts, 256 entries each, four rounds."""
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier, op9_sharding, op10_toxicity)}
+    found = (
+        op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier,
+        op9_sharding, op10_toxicity, op12_vector_codes,
+    )
+    return {f.__name__: f for f in found}
 
 
 SQL: dict[str, str] = {}
@@ -175,5 +185,36 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part compared with every entry, in whole numbers below 2 ** 53."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) AS v FROM kept, (SELECT unnest(range({parts})) AS part))""",
+        f"""b0 AS MATERIALIZED (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, label, part, v, min(struct_pack(d := d, entry := entry)) AS m FROM (
+                  SELECT p.vec_id, p.label, p.part, p.v, entry, list_dot_product(p.v, p.v) + list_dot_product(b{i}.v, b{i}.v) - 2 * list_dot_product(p.v, b{i}.v) AS d FROM p JOIN b{i} ON p.part = b{i}.part)
+                GROUP BY vec_id, label, part, v)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} AS MATERIALIZED (SELECT b{i}.part, coalesce(n.v, b{i}.v) AS v, b{i}.entry FROM b{i} LEFT JOIN (
+                      SELECT part, entry, list(floor(s / n) ORDER BY j) AS v FROM (
+                        SELECT part, m.entry AS entry, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, (SELECT max(len(v)) + 1 FROM p))) AS j) GROUP BY ALL)
+                      GROUP BY part, entry) n ON n.part = b{i}.part AND n.entry = b{i}.entry)"""
+            )
+    return f"""WITH {", ".join(steps)},
+    c AS (SELECT vec_id, label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+    l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c GROUP BY label),
+    h AS (SELECT sha256(string_agg(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN v], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+    SELECT vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN l ON c.label IS NOT DISTINCT FROM l.label, h"""
+
+
+SQL["op12_vector_codes"] = _codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

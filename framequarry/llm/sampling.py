@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .workspace import fresh
 
 
 def lowest_hash(ids: DataFrame, limit: int, seed: int = 0) -> DataFrame:
@@ -43,3 +48,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
 def logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
+
+
+def first_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows in ``order``, in two rounds.
+
+    Every partition keeps its own first rows before anything moves (Spark pushes
+    the rank below the exchange); groups of about root(partitions) of them do the
+    same, so the last task sees ``limit`` rows of each group and not of each partition.
+    """
+    also = fresh(df, "near")
+    groups = max(1, math.isqrt(df.rdd.getNumPartitions()))
+    rank = F.row_number().over(W.partitionBy(also).orderBy(*order))
+    kept = df.withColumn(also, F.spark_partition_id() % groups).withColumn(also + "rank", rank).filter(F.col(also + "rank") <= limit)
+    return kept.drop(also, also + "rank").orderBy(*order).limit(limit)
