@@ -18,6 +18,7 @@ from .quality import score_quality, train_quality
 from .sampling import fold
 from .sharding import shard_documents
 from .toxicity import score_toxicity
+from .trie import prefix_trie, sequences, swapped_start
 from .warc import read_warc, write_warc
 from .workspace import shared_dir
 
@@ -104,10 +105,17 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix tree of all conversations, whose starts are taken from the conversation at the head of their five."""
+    turns = sequences(_table(spark, sf_dir, "conversations"))
+    c = F.col("id")
+    return prefix_trie(swapped_start(turns, c - c % 5, F.crc32(c.cast("string").cast("binary")) % 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier,
-        op9_sharding, op10_toxicity, op12_vector_codes,
+        op9_sharding, op10_toxicity, op12_vector_codes, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -215,6 +223,25 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 
 SQL["op12_vector_codes"] = _codes_sql()
 
+SQL["op13_prefix_trie"] = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS head,
+        xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+          lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT FOR i IN range(8)]), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 9 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS side, pos, role, text FROM c JOIN t ON t.conv_id = c.head AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (SELECT c.conv_id, coalesce(list(sha256(length(role) || ':' || role || text) ORDER BY side, pos) FILTER (WHERE role IS NOT NULL), []) AS l, list(octet_length(encode(text)) ORDER BY side, pos) FILTER (WHERE role IS NOT NULL) AS b
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, unnest(range(len(l) + 1)) AS d, l, b FROM s),
+p AS (SELECT conv_id, d, array_to_string(l[1:d], '') AS path, array_to_string(l[1:d - 1], '') AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes, len(l) = d AS ends FROM m),
+n AS (SELECT path, any_value(CASE WHEN d > 0 THEN up END) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM p GROUP BY path, d),
+k AS (SELECT up, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON k.up = n.path),
+u AS (SELECT a.path, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved FROM f a JOIN f ON starts_with(f.path, a.path) GROUP BY a.path)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.kids AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN f q ON q.path = f.up
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
