@@ -14,6 +14,7 @@ from .decontamination import find_contamination
 from .language import identify_languages, train_languages
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .ngramjoin import jaccard_join
 from .quality import score_quality, train_quality
 from .sampling import fold
 from .sharding import shard_documents
@@ -100,6 +101,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and links of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every vector: four parts, 256 entries each, four rounds."""
     return compress(_table(spark, sf_dir, "embeddings"))
@@ -115,7 +121,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_warc, op2_nearest_neighbours, op3_language_id, op4_mixing, op5_decontamination, op6_chat_formatting, op7_near_duplicates, op8_quality_classifier,
-        op9_sharding, op10_toxicity, op12_vector_codes, op13_prefix_trie,
+        op9_sharding, op10_toxicity, op11_jaccard_join, op12_vector_codes, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -175,6 +181,19 @@ SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) c ON n.doc_id = c.node
 """
 
+SQL["op11_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS v FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n_shingles + b.n_shingles - i)),
+g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, g.y FROM r JOIN g ON r.reached = g.x)
+SELECT n.doc_id, n.n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) c ON n.doc_id = c.node LEFT JOIN (SELECT x, count(*) AS n_links FROM g GROUP BY x) k ON k.x = n.doc_id
+"""
+
 SQL["op6_chat_formatting"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

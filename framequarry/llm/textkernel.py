@@ -174,3 +174,8 @@ def shingles(found: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.n
         else:
             yield np.zeros(0, np.uint64)
         at += count
+
+
+def digest(values: np.ndarray) -> bytes:
+    """128 bits of a set of hashes."""
+    return np.array([mix(values, 5).sum(), mix(values, 6).sum() + np.uint64(len(values))], np.uint64).tobytes()
