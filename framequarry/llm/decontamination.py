@@ -123,8 +123,12 @@ class Index:
         """Shared q-grams of a passage of length n and a region that holds it."""
         return max(1, n - 2 * self.rule.q + 2 - self.rule.run(n) - self.rule.q * self.rule.budget(n))
 
-    def whole(self, codes: np.ndarray, places: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, start, end, 0) of items below the shortest length that stand in a document exactly, as whole words; the first region of each."""
+    def whole(self, codes: np.ndarray, places: np.ndarray, bounds: np.ndarray, inner: list[tuple[bool, bool]]) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, start, end, 0) of items below the shortest length that stand in a document exactly, as whole words; the first region of each.
+
+        ``inner``: whether a document goes on before its first and after its last
+        position here.  What touches such an end is left to the piece that holds both sides.
+        """
         out = []
         for n, items in self.short.items():
             grams = qgrams(codes, n)
@@ -133,7 +137,9 @@ class Index:
             seen = set()
             for p, d in zip(at.tolist(), document.tolist()):
                 last = p + n - 1
-                if last >= bounds[d + 1] or (p > bounds[d] and places[p - 1] + 1 == places[p]) or (last + 1 < bounds[d + 1] and places[last] + 1 == places[last + 1]):
+                if last >= bounds[d + 1] or (p == bounds[d] and inner[d][0]) or (last + 1 == bounds[d + 1] and inner[d][1]):
+                    continue
+                if (p > bounds[d] and places[p - 1] + 1 == places[p]) or (last + 1 < bounds[d + 1] and places[last] + 1 == places[last + 1]):
                     continue
                 for item, mine in items[int(grams[p])]:
                     if (d, item) not in seen and (codes[p : p + n] == mine).all():
@@ -329,28 +335,29 @@ def align(piece: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] |
     return (int(origin[end]), end, int(cost[end])) if cost[end] <= k else None
 
 
-def _parts(text: str, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Normalised pieces of a text and their positions, each with the ``reach`` characters before it."""
+def _parts(text: str, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[bool, bool]]]:
+    """Normalised pieces of a text and their positions, each with the ``reach`` characters before it; whether the text goes on before and after."""
     if len(text) <= PIECE:
-        yield normalise(text)
+        yield *normalise(text), (False, False)
         return
-    carry, done = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), 0
+    carry, done, before = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), 0, False
     for lo in range(0, len(text), PIECE):
         piece = text[lo : lo + PIECE]
         codes, at = normalise(piece)
+        before = before or len(carry[0]) > reach
         carry = np.concatenate([carry[0][-reach:], codes]), np.concatenate([carry[1][-reach:], at + done])
         done += len(piece.lower())
-        yield carry
+        yield *carry, (before, lo + PIECE < len(text))
 
 
 def _matches(search: Index, texts: list[str | None]) -> list[list[dict]]:
     """The regions of each text; start and end count characters of the lower-cased text."""
     found: list[list[dict]] = [[] for _ in texts]
 
-    def scan(rows: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        bounds = np.concatenate([[0], np.cumsum([len(c) for c, _ in parts])])
-        codes, places = np.concatenate([c for c, _ in parts]), np.concatenate([p for _, p in parts])
-        for d, item, start, end, edits in search.regions(codes, bounds) + search.whole(codes, places, bounds):
+    def scan(rows: list[int], parts: list[tuple[np.ndarray, np.ndarray, tuple[bool, bool]]]) -> None:
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c, _, _ in parts])])
+        codes, places = np.concatenate([c for c, _, _ in parts]), np.concatenate([p for _, p, _ in parts])
+        for d, item, start, end, edits in search.regions(codes, bounds) + search.whole(codes, places, bounds, [x for _, _, x in parts]):
             begin, near = int(places[start]), (end - start) // 2
             if not any(m["item_id"] == item and abs(m["start"] - begin) < near for m in found[rows[d]]):
                 found[rows[d]].append({"item_id": item, "start": begin, "end": int(places[end - 1]) + 1, "edits": edits})

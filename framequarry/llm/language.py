@@ -26,13 +26,10 @@ UNKNOWN = "und"
 def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
     """Rows of counts of hashed byte n-grams of whole texts (A-Z folded), for runs of texts in order."""
     carry = None
-    for _, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, ROWS):
-        rows = len(bounds) - 1
-        text, row = textkernel.spaced(data, bounds, textkernel.NOT_ALNUM)
+    for _, rows, whole, found in textkernel.gram_pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, GRAMS, ROWS):
         counts = np.zeros(rows * DIMENSIONS)
-        for n in GRAMS:
-            at, grams = textkernel.byte_grams(text, n)
-            counts += np.bincount(row[at] * DIMENSIONS + (grams >> np.uint64(52)).astype(np.int64), minlength=len(counts))
+        for row, grams in found:
+            counts += np.bincount(row * DIMENSIONS + (grams >> np.uint64(52)).astype(np.int64), minlength=len(counts))
         counts = counts.reshape(rows, DIMENSIONS)
         if carry is not None:
             counts += carry

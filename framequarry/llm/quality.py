@@ -43,13 +43,14 @@ def features(texts: pa.Array, chars: np.ndarray, lang: np.ndarray, source: np.nd
     Null and empty texts have a text view of zeros.
     """
     kept: list[tuple] = []
+    seen, last = np.zeros(0, np.uint64), np.uint64(0)
     plain = np.arange(256, dtype=np.uint8)
     for at, data, bounds, whole in textkernel.pieces(texts, textkernel.SPACE, plain, ROWS):
         n = len(bounds) - 1
         size = np.diff(bounds)
         row = np.repeat(np.arange(n), size)
         bytes_ = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)
-        found, count = textkernel._hashes(textkernel.LOWER[data], bounds, textkernel.SPACE)
+        found, count = textkernel.word_hashes(textkernel.LOWER[data], bounds, textkernel.SPACE)
         owner = np.repeat(np.arange(n), count)
         words = np.bincount(owner * WORDS + (found >> np.uint64(57)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
         again = np.bincount(owner[1:], (found[1:] == found[:-1]) & (owner[1:] == owner[:-1]), n) if len(found) else np.zeros(n)
@@ -57,11 +58,15 @@ def features(texts: pa.Array, chars: np.ndarray, lang: np.ndarray, source: np.nd
         new = np.ones(len(found), bool)
         new[1:] = (found[order][1:] != found[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         distinct = np.bincount(owner[order], new, n)
-        kept.append((bytes_, words, count, again, distinct, size))
+        if not whole or kept:  # one long row in pieces: its words are distinct over all of them
+            again = again + int(len(seen) > 0 and len(found) > 0 and found[0] == last)
+            seen, last = np.union1d(seen, found), found[-1] if len(found) else last
+            distinct = np.array([len(seen)])
+        kept.append((bytes_, words, count, again, size))
         if not whole:
             continue
-        bytes_, words, count, again, distinct, size = (np.sum([k[i] for k in kept], axis=0) for i in range(6))  # distinct words of a very long text: of its pieces
-        kept = []
+        bytes_, words, count, again, size = (np.sum([k[i] for k in kept], axis=0) for i in range(5))
+        kept, seen, last = [], np.zeros(0, np.uint64), np.uint64(0)
         upper, lower = bytes_[:, 65:91].sum(1), bytes_[:, 97:123].sum(1) + bytes_[:, 128:].sum(1)
         k, s = np.maximum(count, 1), np.maximum(size, 1)
         stats = np.column_stack([again / k, distinct / k, np.minimum(1, distinct / np.sqrt(k) / 30), upper / np.maximum(1, upper + lower), (upper + lower) / s, np.minimum(count, 1)])

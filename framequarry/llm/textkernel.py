@@ -61,7 +61,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def _hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``data`` and how many each document [bounds[i], bounds[i+1]) has."""
     n = len(data)
     if not n:
@@ -80,39 +80,67 @@ def _hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[
     return words, np.diff(np.searchsorted(starts, bounds))
 
 
-def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """Yield (first row, folded bytes, bounds of its rows, whether the last row is complete), in order.
-
-    A row longer than PIECE comes alone, in several pieces cut after a byte of
-    ``between``; only its last piece is complete.  ``most`` bounds the rows of a piece.
-    """
+def _cuts(texts: pa.Array, between: np.ndarray, fold: np.ndarray, most: int | None, overlap: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool, bool]]:
+    """What :func:`pieces` yields, and whether the piece starts and ends inside a word."""
     data, offsets = buffers(texts)
     rows, at = len(offsets) - 1, 0
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         to = min(to, at + most) if most else to
         lo, hi = int(offsets[at]), int(offsets[to])
+        inside = False
         while True:
-            end = hi
+            end, split = hi, False
             if hi - lo > PIECE:
                 end = lo + PIECE
                 gaps = np.flatnonzero(between[fold[data[lo:end]]])
-                while not len(gaps) and end < hi:  # a word longer than a piece
+                while not len(gaps) and end < hi and overlap is None:  # a word longer than a piece
                     gaps = np.flatnonzero(between[fold[data[end : min(hi, end + PIECE)]]]) + (end - lo)
                     end = min(hi, end + PIECE)
-                end = lo + int(gaps[-1]) + 1 if len(gaps) else hi
-            yield at, fold[data[lo:end]], (offsets[at : to + 1] - lo if end - lo == offsets[to] - offsets[at] else np.array([0, end - lo])), end == hi
-            lo = end
-            if lo >= hi:
+                split = not len(gaps) and end < hi
+                end = lo + int(gaps[-1]) + 1 if len(gaps) else end
+            yield at, fold[data[lo:end]], (offsets[at : to + 1] - lo if end - lo == offsets[to] - offsets[at] else np.array([0, end - lo])), end == hi, inside, split
+            if end >= hi:
                 break
+            lo, inside = end - (overlap if split else 0), split
         at = to
 
 
+def pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Yield (first row, folded bytes, bounds of its rows, whether the last row is complete), in order.
+
+    A row longer than PIECE comes alone, in several pieces cut after a byte of
+    ``between``; only its last piece is complete, and a word is never cut.  ``most``
+    bounds the rows of a piece.
+    """
+    for piece in _cuts(texts, between, fold, most, None):
+        yield piece[:4]
+
+
+def gram_pieces(texts: pa.Array, between: np.ndarray, fold: np.ndarray, widths: tuple[int, ...], most: int | None = None) -> Iterator[tuple[int, int, bool, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Yield (first row, rows, whether the last row is complete, for each width the row and the hash of every byte n-gram).
+
+    No piece is longer than PIECE: a word that is (a text in a script without
+    spaces, say) is cut inside, and the next piece starts so much earlier that every
+    n-gram is seen once.
+    """
+    overlap = max(widths) - 1
+    for at, data, bounds, whole, inside, split in _cuts(texts, between, fold, most, overlap):
+        text, row = spaced(data, bounds, between)
+        text, row = text[int(inside) : len(text) - int(split)], row[int(inside) : len(row) - int(split)]
+        found = []
+        for n in widths:
+            place, hashes = byte_grams(text, n)
+            new = place >= overlap - (n - 1) if inside else slice(None)
+            found.append((row[place[new]], hashes[new]))
+        yield at, len(bounds) - 1, whole, found
+
+
 def words(texts: pa.Array, between: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, hashes, words per row) for runs of rows, in order."""
     parts = []
     for at, data, bounds, whole in pieces(texts, between, fold):
-        found, counts = _hashes(data, bounds, between)
+        found, counts = word_hashes(data, bounds, between)
         parts.append(found)
         if whole:
             if len(parts) > 1:

@@ -57,10 +57,8 @@ class Vocabulary:
 
 def grams(texts: pa.Array, rows: int = ROWS) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
     """(first row, rows, complete, row of each term, its hash) of whole texts, A-Z folded; a long row comes in several parts."""
-    for at, data, bounds, whole in textkernel.pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, rows):
-        text, row = textkernel.spaced(data, bounds, textkernel.NOT_ALNUM)
-        position, hashes = textkernel.byte_grams(text, GRAM)
-        yield at, len(bounds) - 1, whole, row[position], hashes
+    for at, count, whole, [(row, hashes)] in textkernel.gram_pieces(texts, textkernel.NOT_ALNUM, textkernel.LOWER, (GRAM,), rows):
+        yield at, count, whole, row, hashes
 
 
 def counted(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
