@@ -2,7 +2,7 @@
 
 1. Documents with equal sets of hashed word n-grams are one class.
 2. Of a set of ``n`` values a class shows the ``n - ceil(t n) + l`` smallest, with
-   ``l`` about a fifth of ``n``.  Two sets of similarity ``t`` show at least ``l`` (of
+   ``l`` about a tenth of ``n``.  Two sets of similarity ``t`` show at least ``l`` (of
    the smaller set) common values, so each is led to the other by one of its
    rarest shown values, all but ``l - 1`` of them.  These bounds are certain.
 3. Classes are put into groups of bounded size: first by the most common value
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel
 from .components import components
-from .workspace import cut, split_join
+from .workspace import cut, split_join, written
 
 #: Classes of a group, at most; values of all its classes, about.
 GROUP, VALUES = 512, 1 << 19
@@ -42,7 +42,7 @@ def asked(n: int, percent: int) -> int:
 
 def spare(n: int) -> int:
     """Common values that two linked sets show, at least, if ``n`` is the smaller set's size."""
-    return max(1, n // 5)
+    return max(1, n // 10)
 
 
 def shown(n: int, percent: int) -> int:
@@ -159,7 +159,7 @@ def _open(percent: int):
 def _groups(leads: DataFrame, classes: DataFrame) -> DataFrame:
     """cid -> gid: groups of at most about GROUP classes and VALUES values, by the most common leading value, then by the least value."""
     pivot = leads.groupBy("cid").agg(F.max(F.struct("m", "value")).alias("x")).select("cid", F.col("x.value").alias("pivot"))
-    known = cut(pivot.join(classes.select("cid", "n", F.col("values")[0].alias("least")), "cid"), "pivots")
+    known = cut(pivot.join(classes.select("cid", "n", "least"), "cid"), "pivots")
     blocks = F.ceil(F.greatest(F.col("m") / GROUP, F.col("v") / VALUES)).cast("long")
     size = [F.count("*").alias("m"), F.sum("n").alias("v")]
     first = split_join(known, known.groupBy("pivot").agg(*size), "pivot").select("cid", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("least"), blocks)).alias("block"))
@@ -186,17 +186,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("percent: 50 to 100")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = f"id {slim.schema['id'].dataType.simpleString()}, n long, key binary, values array<long>"
-    signatures = cut(slim.mapInArrow(_sets(width, percent), made), "signatures")
+    signatures, done = written(slim.mapInArrow(_sets(width, percent), made), "signatures")
     grouped = signatures.filter("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("values").alias("values"))
-    classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    heads, values_done = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "heads")
+    classes = cut(heads.select("cid", "key", "n", "id", "copies", F.col("values")[0].alias("least")), "classes")
+    rows = cut(signatures.select("id", "n", "key"), "rows")
+    done()  # the shown values are the bulk: each table of them goes as soon as the next is written
 
-    values = classes.select("cid", F.explode("values").alias("value"))
+    values = heads.select("cid", F.explode("values").alias("value"))
     lists = values.groupBy("value").agg(F.count("*").alias("held")).filter("held > 1")
     common = split_join(values, lists, "value").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("common"))
     smaller = _asked(F.col("n"), percent)
-    follow = (F.size("common") - F.greatest(F.lit(1), F.floor(smaller / 5)) + 1).cast("int")
+    follow = (F.size("common") - F.greatest(F.lit(1), F.floor(smaller / 10)) + 1).cast("int")
     led = classes.select("cid", "n").join(common, "cid").filter(follow > 0).select("cid", F.explode(F.slice("common", F.lit(1), follow)).alias("x"))
     led = cut(led.select("cid", F.col("x.value").alias("value")), "led")
+    values_done()
     leads = cut(split_join(led, led.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value"), "leads")
 
     groups = cut(_groups(leads, classes), "groups")
@@ -222,7 +226,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = stars.groupBy("cid").agg(F.sum("links").alias("links"))
     found = classes.select("cid", "key", "id", "copies").join(connected, "cid", "left").join(counted, "cid", "left")
     found = found.select("key", F.coalesce("component_id", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return split_join(signatures.select("id", "n", "key"), found, "key", "left").select(
+    return split_join(rows, found, "key", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
