@@ -6,7 +6,7 @@
    the smaller set) common values, so each is led to the other by one of its
    rarest shown values, all but ``l - 1`` of them.  These bounds are certain.
 3. Classes are put into groups of bounded size: first by the most common value
-   that leads to them, inside it by the hash of their least value, so that copies
+   that they show, inside it by the hash of their least value, so that copies
    with changes stay together.
 4. The *matrix* has a cell for each value and each group that it leads to.  Groups
    that share a value of the matrix, and whose sizes fit, meet once.
@@ -157,8 +157,12 @@ def _open(percent: int):
 
 
 def _groups(leads: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid -> gid: groups of at most about GROUP classes and VALUES values, by the most common leading value, then by the least value."""
-    pivot = leads.groupBy("cid").agg(F.max(F.struct("m", "value")).alias("x")).select("cid", F.col("x.value").alias("pivot"))
+    """cid -> gid: groups of at most about GROUP classes and VALUES values, by the most common value that they show, then by the least value.
+
+    Of a family of changed copies nearly all show the same most common value, though
+    the rare values that lead them to each other differ: so they fill few groups.
+    """
+    pivot = leads.groupBy("cid").agg(F.first("pivot").alias("pivot"))
     known = cut(pivot.join(classes.select("cid", "n", "least"), "cid"), "pivots")
     blocks = F.ceil(F.greatest(F.col("m") / GROUP, F.col("v") / VALUES)).cast("long")
     size = [F.count("*").alias("m"), F.sum("n").alias("v")]
@@ -198,8 +202,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = split_join(values, lists, "value").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("common"))
     smaller = _asked(F.col("n"), percent)
     follow = (F.size("common") - F.greatest(F.lit(1), F.floor(smaller / 10)) + 1).cast("int")
-    led = classes.select("cid", "n").join(common, "cid").filter(follow > 0).select("cid", F.explode(F.slice("common", F.lit(1), follow)).alias("x"))
-    led = cut(led.select("cid", F.col("x.value").alias("value")), "led")
+    led = classes.select("cid", "n").join(common, "cid").filter(follow > 0).select("cid", F.element_at("common", -1)["value"].alias("pivot"), F.explode(F.slice("common", F.lit(1), follow)).alias("x"))
+    led = cut(led.select("cid", "pivot", F.col("x.value").alias("value")), "led")
     values_done()
     leads = cut(split_join(led, led.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value"), "leads")
 
