@@ -5,16 +5,17 @@
    ``l`` about a tenth of ``n``.  Two sets of similarity ``t`` show at least ``l`` (of
    the smaller set) common values, so each is led to the other by one of its
    rarest shown values, all but ``l - 1`` of them.  These bounds are certain.
-3. Classes are put into groups of bounded size: first by the most common value
-   that they show, inside it by the hash of their least value, so that copies
+3. Classes are put into groups of bounded size: first by the least of
+   the values that lead to most of them, inside it by the hash of their least value, so that copies
    with changes stay together.
-4. The *matrix* has a cell for each value and each group that it leads to.  Groups
-   that share a value of the matrix, and whose sizes fit, meet once.
-5. There the tokens of a whole group are one union.  A query of the other group can
-   share no more values with any member than with that union; only where the
-   bound reaches what its size asks for is the group opened to it, and its members
-   are compared one by one.  Exact counts decide each link.
-6. Links are counted; one star for each set of connected classes in a pair of groups
+4. The *matrix* has a cell for each value and each group that it leads to.  Where two
+   groups share a value of the matrix and their sizes fit, the classes of the one
+   are queries to the other.  A group meets its queries once, in chunks of bounded size.
+5. There the values of the whole group are one union.  A query can share no more
+   values with any member than with that union; only where the bound reaches what
+   its size asks for is the group opened to it, and its members are compared one by
+   one.  Exact counts decide each link.
+6. Links are counted; one star for each set of connected classes in such a meeting
    goes on to the components.
 """
 
@@ -128,7 +129,7 @@ def open_groups(sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], co
 
 
 def _open(percent: int):
-    """Rows (a, b, side, cid, copies, values) in order of (a, b) -> cid, first (of the connected ones), links."""
+    """Rows (t, chunk, side, cid, copies, values) in order of (t, chunk) -> cid, first (of the connected ones), links."""
 
     def one(rows: list[tuple]) -> pa.RecordBatch:
         once = list({r[1]: r for r in rows}.values())
@@ -141,10 +142,10 @@ def _open(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            a, b, side, cid, copies = (c.to_pylist() for c in batch.columns[:5])
+            group, chunk, side, cid, copies = (c.to_pylist() for c in batch.columns[:5])
             lists = batch.column(5)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            for i, pair in enumerate(zip(a, b)):
+            for i, pair in enumerate(zip(group, chunk)):
                 if pair != now:
                     if len(rows) > 1:
                         yield one(rows)
@@ -157,12 +158,14 @@ def _open(percent: int):
 
 
 def _groups(leads: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid -> gid: groups of at most about GROUP classes and VALUES values, by the most common value that they show, then by the least value.
+    """cid -> gid: groups of at most about GROUP classes and VALUES values, by the least of the values that lead to most of them, then by the least value of all.
 
-    Of a family of changed copies nearly all show the same most common value, though
-    the rare values that lead them to each other differ: so they fill few groups.
+    ``leads``: cid, value, m (the classes that the value leads to).  Of a class's values
+    those with at least half its greatest ``m`` count: nearly all of a family of changed
+    copies share the least of these, while a rare value that a change made leads to few.
     """
-    pivot = leads.groupBy("cid").agg(F.first("pivot").alias("pivot"))
+    listed = leads.groupBy("cid").agg(F.collect_list(F.struct("m", "value")).alias("x"), F.max("m").alias("most"))
+    pivot = listed.select("cid", F.array_min(F.transform(F.filter("x", lambda x: x["m"] * 2 >= F.col("most")), lambda x: x["value"])).alias("pivot"))
     known = cut(pivot.join(classes.select("cid", "n", "least"), "cid"), "pivots")
     blocks = F.ceil(F.greatest(F.col("m") / GROUP, F.col("v") / VALUES)).cast("long")
     size = [F.count("*").alias("m"), F.sum("n").alias("v")]
@@ -202,26 +205,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = split_join(values, lists, "value").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("common"))
     smaller = _asked(F.col("n"), percent)
     follow = (F.size("common") - F.greatest(F.lit(1), F.floor(smaller / 10)) + 1).cast("int")
-    led = classes.select("cid", "n").join(common, "cid").filter(follow > 0).select("cid", F.element_at("common", -1)["value"].alias("pivot"), F.explode(F.slice("common", F.lit(1), follow)).alias("x"))
-    led = cut(led.select("cid", "pivot", F.col("x.value").alias("value")), "led")
+    led = classes.select("cid", "n").join(common, "cid").filter(follow > 0).select("cid", F.explode(F.slice("common", F.lit(1), follow)).alias("x"))
+    led = cut(led.select("cid", F.col("x.value").alias("value")), "led")
     values_done()
     leads = cut(split_join(led, led.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1"), "value"), "leads")
 
     groups = cut(_groups(leads, classes), "groups")
-    spans = groups.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
+    spans = groups.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("v"))
     matrix = cut(leads.select("cid", "value").join(groups.select("cid", "gid"), "cid").select("value", "gid").distinct(), "matrix")
-    wide = cut(split_join(matrix, spans.select("gid", "lo", "hi"), "gid"), "cells")
-    left, right = (wide.select("value", F.col("gid").alias(g), F.col("lo").alias(f"{g}_lo"), F.col("hi").alias(f"{g}_hi")) for g in ("a", "b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("a_hi") * 100 >= F.col("b_lo") * percent) & (F.col("b_hi") * 100 >= F.col("a_lo") * percent)
-    pairs = cut(left.join(right, "value").filter(fits).select("a", "b").distinct().union(spans.filter("m > 1").select("gid", "gid")), "pairs")
-
-    met = pairs.select(F.col("a").alias("gid"), "a", "b", F.lit(0).alias("side")).union(pairs.filter("a < b").select("b", "a", "b", F.lit(1)))
+    wide = cut(split_join(matrix, spans, "gid"), "cells")
+    span = F.struct("m", "gid", "v", "lo", "hi")
+    fits = (F.col("q") < F.col("t")) & (F.col("q.hi") * 100 >= F.col("t.lo") * percent) & (F.col("t.hi") * 100 >= F.col("q.lo") * percent)  # the group of more classes is opened, the other asks
+    pairs = cut(wide.select("value", span.alias("q")).join(wide.select("value", span.alias("t")), "value").filter(fits).select(F.col("q.gid").alias("q"), F.col("t.gid").alias("t"), "q.m", "q.v").distinct(), "pairs")
+
+    load = F.ceil(F.greatest(F.sum("m") / (4 * GROUP), F.sum("v") / (2 * VALUES))).cast("long").alias("chunks")
+    asks = cut(split_join(pairs, pairs.groupBy("t").agg(load), "t").select("q", "t", F.pmod(F.xxhash64("q"), F.col("chunks")).alias("chunk")), "asks")
+    met = asks.select(F.col("q").alias("gid"), "t", "chunk", F.lit(1).alias("side")).union(asks.select("t", "t", "chunk", F.lit(0)).distinct())
+    met = met.union(spans.filter("m > 1").select("gid", "gid", F.lit(-1).cast("long"), F.lit(0)))
     members = groups.select("cid", "gid").join(classes.select("cid", "key", "id", "copies"), "cid")
     members = cut(members.join(met.select("gid").distinct(), "gid", "left_semi"), "members")
     named = members.select(F.col("id").alias("member")).distinct()
     sets = slim.join(named, slim["id"].eqNullSafe(named["member"]), "left_semi").mapInArrow(_sets(width, None), made).select("key", "values")
-    meeting = sets.join(members.select("key", "cid", "gid", "copies"), "key").join(met, "gid").select("a", "b", "side", "cid", "copies", "values")
-    stars = cut(meeting.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_open(percent), "cid long, first long, links long"), "stars")
+    meeting = sets.join(members.select("key", "cid", "gid", "copies"), "key").join(met, "gid").select("t", "chunk", "side", "cid", "copies", "values")
+    stars = cut(meeting.repartition("t", "chunk").sortWithinPartitions("t", "chunk").mapInArrow(_open(percent), "cid long, first long, links long"), "stars")
 
     roots = components(stars.select(F.col("cid").alias("u"), F.col("first").alias("v")))
     label = roots.union(roots.select("root", "root").distinct())
