@@ -24,25 +24,38 @@ def checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) -> (node, root): the smallest node that each node of an edge reaches.
+def _large_star(pairs: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is hung on the node's smallest one."""
+    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    Every round replaces a node's label by the smallest of its neighbours' labels
-    and then by its label's label, so long chains shrink fast.  Rounds are
-    checkpointed: set ``spark.checkpoint.dir`` to a folder that executors share.
+
+def _small_star(pairs: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are hung on the smallest of these."""
+    down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v) -> (node, root): the smallest node that each node of an edge reaches; ends in a number of rounds that grows with the logarithm of the longest path.
+
+    Alternates large and small stars until every node hangs on its root.  A round
+    takes minima by key, combined before the shuffle, and one join on the node.
+    Rounds are checkpointed: set ``spark.checkpoint.dir`` to a folder that executors
+    share.  Edges with a null end are left out.
     """
     checkpoint_folder(edges.sparkSession)
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        moved = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "m").alias("to"))
-        parent = moved.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        new = moved.join(parent, "to").select("node", F.col("root").alias("was"), F.least("to", "up").alias("root")).checkpoint()
-        labels = new.select("node", "root")
-        if not new.filter("was != root").limit(1).count():
-            return labels
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    edges = edges.select("u", "v").filter("u is not null and v is not null")
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    pairs = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    while True:
+        tall = pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        if not tall and not pairs.groupBy("u").count().filter("count > 1").limit(1).count():
+            return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("r")), "node", "left").select("node", F.coalesce("r", "node").alias("root"))
+        pairs = _small_star(_large_star(pairs)).checkpoint()
 
 
 def drop_pairs(links: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
