@@ -60,7 +60,7 @@ def test_no_pairs_and_frames_without_any(spark):
 
 
 def test_dense_term_fed_by_projection_moves_the_pose_back(spark):
-    camera = Camera(40, 30, 40.0, 40.0, 19.5, 14.5, 0.1, 10.0)
+    camera = Camera(40.0, 40.0, 19.5, 14.5, 40, 30, 0.1, 10.0)
     true = exp_se3(np.array([[0.0] * 6, [0.02, -0.03, 0.01, 0.03, 0.02, -0.02]]))
     height = lambda x, y: 1 + 0.3 * np.sin(2 * x) * np.cos(1.5 * y)
     rows = []
