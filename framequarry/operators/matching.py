@@ -52,51 +52,142 @@ def best_matches(matches: DataFrame, group: list[str], order: list[str], most: i
     return matches.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)
 
 
-def earlier_pairs(frames: DataFrame, reach: int | None = None) -> DataFrame:
+#: Keypoints of a tile, about.
+TILE = 1024
+
+
+def earlier_pairs(frames: DataFrame, reach: int | None = None, blocks: int = 16) -> DataFrame:
     """(frame) -> i, j: every frame j with each valid earlier frame i, or only those up to ``reach`` before it.
 
     Frames without ``valid`` (if that column is there) are in no pair.  Without
-    ``reach`` the number of pairs is half the square of the frames, by meaning; with
-    it every frame names its predecessors and they meet by an equi-join.
+    ``reach`` the number of pairs is half the square of the frames, by meaning: both
+    sides meet in a grid of ``blocks`` x ``blocks`` cells by an equi-join, so neither
+    is broadcast.  With it every frame names its predecessors.
     """
-    kept = (frames.filter("valid") if "valid" in frames.columns else frames).select(F.col("frame").cast("long").alias("frame")).distinct()
+    kept = (frames.filter("valid") if "valid" in frames.columns else frames).select(F.col("frame").cast("long").alias("frame")).filter("frame is not null").distinct()
     if reach is None:
-        a, b = kept.withColumnRenamed("frame", "i"), kept.withColumnRenamed("frame", "j")
-        return a.join(b, F.col("i") < F.col("j"))
+        cell = F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        a = kept.select(F.col("frame").alias("i"), cell.alias("a"), every.alias("b"))
+        b = kept.select(F.col("frame").alias("j"), cell.alias("b"), every.alias("a"))
+        return a.join(b, ["a", "b"]).filter(F.col("i") < F.col("j")).select("i", "j")
     wanted = kept.select(F.col("frame").alias("j"), F.explode(F.sequence(F.col("frame") - reach, F.col("frame") - 1)).alias("frame"))
     return wanted.join(kept, "frame").select(F.col("frame").alias("i"), "j")
 
 
-def match_frames(keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8) -> DataFrame:
+def _tiles(keypoints: DataFrame, tile: int) -> DataFrame:
+    """(frame, key, descriptor) -> frame, key, d, tile: tiles of about ``tile`` keypoints, of several small frames or a part of a large one."""
+    slim = keypoints.filter(F.col("key").isNotNull() & F.col("frame").isNotNull() & F.col("descriptor").isNotNull())
+    slim = slim.select(F.col("frame").cast("long").alias("frame"), F.col("key").cast("long").alias("key"), F.col("descriptor").cast("array<double>").alias("d"))
+    sizes = slim.groupBy("frame").agg(F.count("*").alias("m"))
+    small = sizes.filter(F.col("m") <= tile).agg(F.sum("m")).first()[0] or 0
+    shared = F.pmod(F.xxhash64("frame"), F.lit(-(-small // tile) or 1))
+    own = F.xxhash64("frame", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / tile).cast("long")))
+    return slim.join(sizes, "frame").select("frame", "key", "d", F.when(F.col("m") <= tile, shared).otherwise(own).alias("tile"))
+
+
+def _two_best(far: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the least distance, its key (the columns ascend by key), and the second least."""
+    at = far.argmin(1)
+    second = np.partition(far, 1, axis=1)[:, 1] if far.shape[1] > 1 else np.full(len(far), np.inf)
+    return far[np.arange(len(far)), at], keys[at], second
+
+
+_BEST = ["i", "j", "side", "key", "dist", "other", "second"]
+
+
+def match_frames(keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8, tile: int = TILE) -> DataFrame:
     """(frame, key, descriptor) and (i, j) -> i, j, key_i, key_j, dist: mutual best matches under the ratio test, for all pairs of frames at once.
 
-    A frame's keypoints, a bounded number, travel as one row.  Pairs are spread
-    over the tasks and each is one product of two matrices; nothing is looped on
-    the driver.  Ties go to the smaller key; null descriptors take no part.
+    Keypoints travel in tiles of bounded size, once for each pair of tiles that holds
+    an asked pair of frames; a large frame is several tiles.  A pair of tiles is
+    one product of two matrices and gives each keypoint's best and second best there;
+    these are put together by pair of frames and keypoint.  Ties go to the smaller
+    key; null descriptors take no part, nor do those of another length than their
+    tile's.
     """
-    point = F.struct(F.col("key").cast("long").alias("key"), F.col("descriptor").cast("array<double>").alias("d"))
-    packed = keypoints.filter(F.col("key").isNotNull() & F.col("descriptor").isNotNull()).groupBy(F.col("frame").cast("long").alias("frame")).agg(F.sort_array(F.collect_list(point)).alias("p"))
-    packed = packed.select("frame", F.transform("p", lambda x: x["key"]).alias("k"), F.flatten(F.transform("p", lambda x: x["d"])).alias("d"))
-    side = lambda n: packed.select(F.col("frame").alias(n), F.col("k").alias(f"k{n}"), F.col("d").alias(f"d{n}"))
-    both = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).join(side("i"), "i").join(side("j"), "j").select("i", "j", "ki", "di", "kj", "dj")
-
-    def nearest(far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best = far.argmin(1)
-        first = far[np.arange(len(far)), best]
-        second = np.partition(far, 1, axis=1)[:, 1] if far.shape[1] > 1 else np.full(len(far), np.inf)
-        return best, (first < longest) & (first < ratio * second)
+    tiled = _tiles(keypoints, tile)
+    places = tiled.select("frame", "tile").distinct()
+    at = lambda n, t: places.select(F.col("frame").alias(n), F.col("tile").alias(t))
+    asked = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct().join(at("i", "a"), "i").join(at("j", "b"), "j")
+    cells = asked.groupBy("a", "b").agg(F.collect_list("i").alias("is"), F.collect_list("j").alias("js"))
+    packed = tiled.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("frame", "key", "d"))).alias("p"))
+    packed = packed.select("tile", F.transform("p", lambda x: x["frame"]).alias("f"), F.transform("p", lambda x: x["key"]).alias("k"), F.transform("p", lambda x: F.size(x["d"])).alias("n"), F.flatten(F.transform("p", lambda x: x["d"])).alias("d"))
+    side = lambda t: packed.select(F.col("tile").alias(t), *[F.col(c).alias(c + t) for c in "fknd"])
+    met = cells.join(side("a"), "a").join(side("b"), "b").select("is", "js", "fa", "ka", "na", "da", "fb", "kb", "nb", "db")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ki, di, kj, dj = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(2, 6))
-                if not len(ki) or not len(kj) or len(di) // len(ki) != len(dj) // len(kj):
+                i_s, j_s, fa, ka, na, da, fb, kb, nb, db = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(10))
+                width = int(na.max(initial=0))
+                if (na != width).any() or (nb != width).any() or not width:
+                    (fa, ka, da), (fb, kb, db) = (_even(f, k, n, d, width) for f, k, n, d in ((fa, ka, na, da), (fb, kb, nb, db)))
+                if not len(fa) or not len(fb):
                     continue
-                far = np.arccos(np.clip(di.reshape(len(ki), -1) @ dj.reshape(len(kj), -1).T, -1, 1))
-                (right, fine), (left, good) = nearest(far), nearest(far.T)
-                rows = np.flatnonzero(fine & good[right] & (left[right] == np.arange(len(ki))))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, j)), pa.array(ki[rows]), pa.array(kj[right[rows]]), pa.array(far[rows, right[rows]])], names=["i", "j", "key_i", "key_j", "dist"])
-
-    return both.mapInArrow(run, "i long, j long, key_i long, key_j long, dist double")
+                far = np.arccos(np.clip(da.reshape(len(fa), width) @ db.reshape(len(fb), width).T, -1, 1))
+                out = []
+                for i, j in zip(i_s.tolist(), j_s.tolist()):
+                    rows, columns = slice(*np.searchsorted(fa, [i, i + 1])), slice(*np.searchsorted(fb, [j, j + 1]))
+                    block = far[rows, columns]
+                    if not block.size:
+                        continue
+                    for s, (x, mine, theirs) in enumerate(((block, ka[rows], kb[columns]), (block.T, kb[columns], ka[rows]))):
+                        dist, other, second = _two_best(x, theirs)
+                        near = dist < longest / min(ratio, 1.0)  # farther ones are neither accepted nor in the way
+                        n = int(near.sum())
+                        out.append([np.full(n, i), np.full(n, j), np.full(n, s, np.int32), mine[near], dist[near], other[near], second[near]])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=_BEST)
+
+    found = met.mapInArrow(run, "i long, j long, side int, key long, dist double, other long, second double")
+    best = found.groupBy("i", "j", "side", "key").agg(F.sort_array(F.collect_list(F.struct("dist", "other", "second"))).alias("x"))
+    first, second = F.col("x")[0], F.least(F.col("x")[0]["second"], F.coalesce(F.get("x", F.lit(1))["dist"], F.lit(float("inf"))))
+    fine = best.select("i", "j", "side", "key", first["dist"].alias("dist"), first["other"].alias("other"), second.alias("second")).filter((F.col("dist") < longest) & (F.col("dist") < ratio * F.col("second")))
+    left = fine.filter("side = 0").select("i", "j", F.col("key").alias("key_i"), F.col("other").alias("key_j"), "dist")
+    right = fine.filter("side = 1").select("i", "j", F.col("other").alias("key_i"), F.col("key").alias("key_j"))
+    return left.join(right, ["i", "j", "key_i", "key_j"])
+
+
+def _even(frames: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keypoints whose descriptors have ``width`` numbers."""
+    ends = np.cumsum(sizes)
+    kept = np.flatnonzero(sizes == width)
+    flat = np.concatenate([values[ends[r] - width : ends[r]] for r in kept]) if len(kept) else np.zeros(0)
+    return frames[kept], keys[kept], flat
+
+
+def match_chain(
+    keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8, most: int = 128, fewest: int = 5, worst2: float = 0.0004, area: float = 400.0, verify: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs through all filters: (kept matches, history of the pairs).
+
+    ``keypoints``: frame, key, descriptor, u, v (pixels), x, y, z (metres).  The
+    stages, in order: mutual best matches, of which the nearest ``most`` stay; at least
+    ``fewest`` of them; a rigid motion that ``fewest`` agree with (:func:`rigid.filter_matches`);
+    their pixels span ``area`` in one of the images; and, where ``verify`` (i, j) is
+    given, the dense check has passed the pair.  The history has one row a pair: i, j,
+    matches (kept), state (valid, or the stage that refused it).
+    """
+    from .features import wide_pairs
+    from .rigid import filter_matches
+
+    point = lambda n, k: keypoints.select(F.col("frame").cast("long").alias(n), F.col("key").cast("long").alias(f"key_{n}"), *[F.col(c).alias(c + k) for c in ("u", "v", "x", "y", "z")])
+    asked = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+    raw = best_matches(match_frames(keypoints, asked, longest, ratio), ["i", "j"], ["dist", "key_i"], most)
+    raw = raw.join(point("i", "1"), ["i", "key_i"]).join(point("j", "2"), ["j", "key_j"]).dropna(subset=["x1", "y1", "z1", "x2", "y2", "z2"])
+    raw = raw.withColumn("match_id", F.col("rank").cast("long")).checkpoint()
+    enough = raw.groupBy("i", "j").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest).select("i", "j")
+    moved = raw.join(enough, ["i", "j"]).select("i", "j", "match_id", "dist", "u1", "v1", "u2", "v2", *[F.col(f"{c}1").alias(f"s{c}") for c in "xyz"], *[F.col(f"{c}2").alias(f"t{c}") for c in "xyz"])
+    rigid = filter_matches(moved, ["i", "j"], worst2, fewest).checkpoint()
+    agreed = rigid.select("i", "j", F.explode("kept").alias("match_id"))
+    agreed = agreed.join(agreed.groupBy("i", "j").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest).select("i", "j"), ["i", "j"])
+    kept = raw.join(agreed, ["i", "j", "match_id"]).checkpoint()
+    wide = wide_pairs(kept, ["i", "j"], area).select("i", "j").distinct()
+    passed = wide if verify is None else wide.join(verify.select("i", "j").distinct(), ["i", "j"], "left_semi")
+    valid = kept.join(passed, ["i", "j"], "left_semi")
+    marked = lambda df, name: df.select("i", "j").distinct().withColumn(name, F.lit(True))
+    states = asked.join(marked(enough, "a"), ["i", "j"], "left").join(marked(agreed, "b"), ["i", "j"], "left").join(marked(wide, "c"), ["i", "j"], "left").join(marked(passed, "d"), ["i", "j"], "left")
+    state = F.when(F.col("a").isNull(), "few matches").when(F.col("b").isNull(), "no rigid motion").when(F.col("c").isNull(), "small area").when(F.col("d").isNull(), "dense check").otherwise("valid")
+    counts = valid.groupBy("i", "j").agg(F.count("*").alias("matches"))
+    return valid, states.select("i", "j", state.alias("state")).join(counts, ["i", "j"], "left").select("i", "j", F.coalesce("matches", F.lit(0)).alias("matches"), "state")
