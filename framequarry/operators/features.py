@@ -42,20 +42,26 @@ def orientations(votes: np.ndarray, most: int = 2, share: float = 0.8) -> list[f
     return (((peaks + offset + 0.5) % len(h)) * 2 * np.pi / len(h)).tolist()
 
 
-def window_votes(image: np.ndarray, u: float, v: float, sigma: float, bins: int = 36) -> np.ndarray:
-    """Gradient angles around a point, weighted by magnitude and a Gaussian."""
-    gx, gy = images.sobel(image)
-    y, x = np.mgrid[0 : image.shape[0], 0 : image.shape[1]]
+def window(gx: np.ndarray, gy: np.ndarray, u: float, v: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The part of two gradient planes within ``reach`` of a point, with its pixels' x and y."""
+    top, left = max(0, int(np.floor(v - reach))), max(0, int(np.floor(u - reach)))
+    part = slice(top, int(np.ceil(v + reach)) + 1), slice(left, int(np.ceil(u + reach)) + 1)
+    y, x = np.mgrid[part[0].start : min(part[0].stop, gx.shape[0]), part[1].start : min(part[1].stop, gx.shape[1])]
+    return gx[part], gy[part], x, y
+
+
+def window_votes(image: np.ndarray, u: float, v: float, sigma: float, bins: int = 36, gradient: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Gradient angles around a point, weighted by magnitude and a Gaussian; ``gradient``: the image's, where it is known."""
+    gx, gy, x, y = window(*(gradient or images.sobel(image)), u, v, 3 * sigma)
     weight = np.exp(-((x - u) ** 2 + (y - v) ** 2) / (2 * sigma * sigma)) * np.hypot(gx, gy)
     near = (np.hypot(x - u, y - v) <= 3 * sigma) & np.isfinite(weight)
     angle = np.mod(np.arctan2(gy[near], gx[near]), 2 * np.pi)
     return np.bincount((angle / (2 * np.pi) * bins).astype(int) % bins, weight[near], bins)
 
 
-def descriptors(image: np.ndarray, u: float, v: float, angle: float, sigma: float) -> np.ndarray:
+def descriptors(image: np.ndarray, u: float, v: float, angle: float, sigma: float, gradient: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """128 numbers: eight gradient angles in 4 x 4 cells of a window turned by ``angle``, unit length with components up to 0.2."""
-    gx, gy = images.sobel(image)
-    y, x = np.mgrid[0 : image.shape[0], 0 : image.shape[1]]
+    gx, gy, x, y = window(*(gradient or images.sobel(image)), u, v, 7.5 * np.sqrt(2) * sigma)  # a cell has three sigma, the window reaches 2.5 of them
     c, s = np.cos(angle), np.sin(angle)
     a, b = (c * (x - u) + s * (y - v)) / (3 * sigma) + 1.5, (c * (y - v) - s * (x - u)) / (3 * sigma) + 1.5
     turn = np.mod(np.arctan2(gy, gx) - angle, 2 * np.pi) / (2 * np.pi) * 8

@@ -38,9 +38,9 @@ def per_image(frames: DataFrame, column: str | list[str], out: str, width: int,
     return frames.withColumn(out, run(*columns))
 
 
-def shifted(image: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """The neighbour at (x + dx, y + dy) of each pixel, NaN outside."""
-    out = np.full(image.shape, np.nan)
+def shifted(image: np.ndarray, dx: int, dy: int, outside: float = np.nan) -> np.ndarray:
+    """The neighbour at (x + dx, y + dy) of each pixel, ``outside`` (NaN) beyond the border."""
+    out = np.full(image.shape, outside)
     h, w = image.shape
     ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
     if ys.start < ys.stop and xs.start < xs.stop:
