@@ -31,8 +31,9 @@ def listed(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def patches(pixels: DataFrame, keys: list[str], flag: Column, size: int = 2) -> DataFrame:
-    """keys, u, v of each patch of ``size`` x ``size`` pixels; ``some`` and ``every``: whether any, and whether all, of its pixels are set."""
-    held = pixels.groupBy(*keys, F.floor(F.col("u") / size).alias("u"), F.floor(F.col("v") / size).alias("v")).agg(F.count_if(flag).alias("n"))
+    """keys, u, v of each patch of ``size`` x ``size`` pixels; ``some`` and ``every``: whether any, and whether all, of its pixels are set (a pixel that repeats is one)."""
+    place = F.pmod(F.col("u"), F.lit(size)) * size + F.pmod(F.col("v"), F.lit(size))
+    held = pixels.groupBy(*keys, F.floor(F.col("u") / size).alias("u"), F.floor(F.col("v") / size).alias("v")).agg(F.count_distinct(F.when(flag, place)).alias("n"))
     return held.select(*keys, "u", "v", (F.col("n") > 0).alias("some"), (F.col("n") == size * size).alias("every"))
 
 

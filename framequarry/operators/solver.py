@@ -213,6 +213,9 @@ def conjugate_gradients(blocks: DataFrame, frames: DataFrame, fixed: int, rounds
     preconditioner is the inverse of the diagonal.  Frames without any block stay.
     """
     checkpoint_folder(frames.sparkSession)
+    known = frames.select("frame").distinct()
+    for n in "ij":  # a block with an end outside the graph says nothing
+        blocks = blocks.join(known.select(F.col("frame").alias(n)), n, "left_semi")
     blocks = blocks.checkpoint()
     ends = lambda c, i, j: blocks.select(F.col("i").alias("frame"), i.alias(c)).unionAll(blocks.select(F.col("j").alias("frame"), j.alias(c)))
     diagonal = lambda first: F.array(*[F.col("h")[first + 7 * k] for k in range(6)])

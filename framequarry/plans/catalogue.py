@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from framequarry.functions import camera, voxel
 from framequarry.operators import chunks, features, graph, integration, matching, raster, rigid, trajectory, verify, voxels
 from framequarry.sources import sinks
-from framequarry.streaming import online
+from framequarry.streaming import online, tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -526,13 +527,29 @@ def _event_pixels(spark, sf_dir):
 
 @query("""
 SELECT user_id AS frame, CAST(floor((event_id % 64) / 2) AS BIGINT) AS u, CAST(floor((event_id // 64 % 48) / 2) AS BIGINT) AS v,
-       count(*) FILTER (value > 50) > 0 AS some, count(*) FILTER (value > 50) = 4 AS every FROM events GROUP BY 1, 2, 3
+       count(*) FILTER (value > 50) > 0 AS some, count(DISTINCT CASE WHEN value > 50 THEN (event_id % 64) % 2 * 2 + (event_id // 64 % 48) % 2 END) = 4 AS every FROM events GROUP BY 1, 2, 3
 """)
 def patch_flags(spark, sf_dir):
     """Whether some, and whether all, pixels of each patch are set."""
     return raster.patches(_event_pixels(spark, sf_dir), ["frame"], F.col("value") > 50)
 
 
+@query("""
+WITH f AS (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, CASE WHEN event_id % 5 <> 0 THEN floor(value) END AS local FROM events WHERE user_id IS NOT NULL),
+c AS (SELECT *, greatest(idx - 1, 0) // 10 AS chunk FROM f),
+v AS (SELECT session, idx, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN lag(chunk) OVER w = chunk THEN local - lag(local) OVER w ELSE local END AS step FROM c WHERE local IS NOT NULL WINDOW w AS (PARTITION BY session ORDER BY idx)),
+x AS (SELECT session, idx, sum(step) OVER (PARTITION BY session ORDER BY idx) AS x FROM v)
+SELECT c.session, c.idx, CAST(c.chunk AS BIGINT) AS chunk, x.x, c.local IS NOT NULL AS valid FROM c LEFT JOIN x USING (session, idx)
+""")
+def tracked_positions(spark, sf_dir):
+    """Each user's events as frames with positions in their chunks, as one running track; every fifth event is no frame."""
+    order = W.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events", "user_id", "event_id", "value").filter("user_id is not null").withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    cells = [F.floor("value").cast("double") if k == 3 else F.lit(1.0 if k % 5 == 0 else 0.0) for k in range(16)]
+    frames = rows.select(F.col("user_id").cast("string").alias("session"), "idx", F.when((F.col("event_id") % 5 != 0) & F.col("value").isNotNull(), F.array(*cells)).alias("local"))
+    return tracker.track_batch(frames, 10, 0).select("session", "idx", "chunk", F.col("pose")[3].alias("x"), "valid")
+
+
 LINKS = "WITH l AS (SELECT o_custkey % 50 AS i, o_orderkey % 50 AS j, o_totalprice, o_orderstatus FROM orders)"
 
 
