@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.camera import Camera, invert_rigid, transform_point
+from framequarry.functions.camera import Camera, invert_rigid, multiply, transform_point
 
 
 def projective_join(pixels: DataFrame, pairs: DataFrame, camera: Camera, far: float = 0.15, cosine: float = 0.97) -> DataFrame:
@@ -46,6 +46,23 @@ def overlapping_pairs(pairs: DataFrame, dense: DataFrame, least: int = 10) -> Da
     return pairs.join(dense.filter("good").groupBy("i", "j").agg(F.count("*").alias("hits")).filter(F.col("hits") > least), ["i", "j"])
 
 
+def reference_overlap(pixels: DataFrame, pairs: DataFrame, reference: DataFrame, camera: Camera, share: float = 0.3, far: float = 0.15, cosine: float = 0.97) -> DataFrame:
+    """i, j, overlaps: whether frames overlap by their reference poses, as :func:`evaluation_counts` takes them.
+
+    ``pairs``: i < j; ``reference``: frame, transform into the world.  They overlap if at
+    least ``share`` of j's pixels that are present land on like ones of i, or the other
+    way round.  A pair with a frame that has no reference pose overlaps in nothing.
+    """
+    known = pairs.select("i", "j").distinct()
+    a, b = (reference.select(F.col("frame").alias(n), F.col("transform").alias(f"t{n}")) for n in "ij")
+    met = known.join(a, "i").join(b, "j")
+    ways = met.select("i", "j", multiply(invert_rigid(F.col("tj")), F.col("ti")).alias("transform")).unionAll(met.select("j", "i", multiply(invert_rigid(F.col("ti")), F.col("tj"))))
+    hits = projective_join(pixels, ways, camera, far, cosine).filter("good").groupBy("i", "j").agg(F.count("*").alias("hits"))
+    sizes = pixels.filter("z is not null").groupBy(F.col("frame").alias("i")).agg(F.count("*").alias("n"))
+    enough = hits.join(sizes, "i").filter(F.col("hits") >= share * F.col("n")).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(True).alias("o")).distinct()
+    return known.join(enough, ["i", "j"], "left").select("i", "j", F.coalesce("o", F.lit(False)).alias("overlaps"))
+
+
 def trajectory_valid(quality: DataFrame, least: float = 0.05) -> DataFrame:
     """One row: whether every pair passes (a trajectory without pairs does)."""
     return quality.agg(F.coalesce(F.bool_and(F.col("share") >= least), F.lit(True)).alias("valid"))
