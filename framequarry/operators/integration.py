@@ -87,6 +87,26 @@ def integrate(samples: DataFrame, sign: Column | None = None, most: float = 255.
     return fuse(samples, VOXEL_KEYS, F.col("sdf"), F.lit(1.0), sign, most).filter("weight > 0").withColumnRenamed("mean", "sdf")
 
 
+def integrate_coloured(samples: DataFrame, sign: Column | None = None, most: float = 255.0, order: str = "frame", colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """:func:`integrate` with a colour for each voxel: the first sample's, then 0.8 old + 0.2 new, rounded and kept within 0 and 254, in order of ``order``.
+
+    A sample that is taken out again leaves the fold, so the colour is that of the
+    samples that are left (of equal ``order`` the first by colour); a null colour does
+    not count, and a voxel without any has null colours.  A voxel's colours are one
+    list of at most as many entries as there are frames.
+    """
+    sign = F.lit(1) if sign is None else sign
+    left = samples.dropna(subset=list(colours)).groupBy(*VOXEL_KEYS, order, *colours).agg(F.sum(sign).alias("_n")).filter("_n > 0")
+    ordered = left.groupBy(*VOXEL_KEYS).agg(F.sort_array(F.collect_list(F.struct(order, *[F.col(c).cast("double").alias(c) for c in colours]))).alias("_s"))
+    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(254.0), F.round(x)))
+
+    def fold(c: str) -> Column:
+        rest = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0)))
+        return F.aggregate(rest, within(F.col("_s")[0][c]), lambda old, x: within(old * 0.8 + x[c] * 0.2)).cast("int").alias(c)
+
+    return integrate(samples, sign, most).join(ordered.select(*VOXEL_KEYS, *map(fold, colours)), VOXEL_KEYS, "left")
+
+
 def trilinear(points: DataFrame, voxels: DataFrame, size: float, key: str = "id") -> DataFrame:
     """(key, x, y, z) over voxels (vx, vy, vz, sdf, weight) -> key, sdf at the point from the eight voxels around it.
 
