@@ -41,6 +41,6 @@ def test_pipeline_on_awkward_rows(documents, nothing, spark, tmp_path):
 
 def test_every_operator_has_a_query():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert names | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(queries.oracle_sql()) <= names
