@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are the byte 4-grams inside words (a word's ends count as a space).  Every
-term of every example is in the vocabulary, and all documents count for its
-document frequency.  The examples stand in blocks of an inverted index: a block
-holds, for each of its terms, the postings (example, weight) and their largest
-weight.  A query visits only blocks whose summed maxima reach its k-th best
-cosine, so the neighbours are exact.
+Terms are the byte 5-grams inside words (a word's ends count as a space; words
+below four bytes have none).  Every term of every example is in the vocabulary, and
+all documents count for its document frequency.  A term's idf is multiplied by how
+surely it tells the classes apart among the examples: without that, what texts talk
+about decides which are near, and toxic wording, a few words of a text, hardly does.
+The examples stand in blocks of an inverted index: a block holds, for each of its
+terms, the postings (example, weight) and their largest weight; a term has entries
+for the blocks that hold it only.  A query visits only blocks whose summed maxima
+reach its k-th best cosine, so the neighbours are exact.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from .workspace import cut
 
 #: Labelled documents of each class that serve as examples, and that calibrate, at most.
 EXAMPLES = 1024
-GRAM, BLOCK, NEIGHBOURS = 4, 64, 200
+GRAM, BLOCK, NEIGHBOURS = 5, 64, 200
 #: The vote is taken among so many of the nearest.
 VOTES = (15, 50, 200)
 #: Texts that are turned into vectors at a time.
 ROWS = 256
+#: Weight of a term that tells the classes apart not at all, beside the standard score of those that do.
+FLOOR = 0.1
 #: Terms whose postings are kept as full rows of a block (the most frequent ones); all others are lists.
 FULL = 2048
 
@@ -170,14 +175,20 @@ class Index:
         rows = rows.take(some)
         self.blocks = -(-len(some) // BLOCK)
         owner = rows.owner()
-        self.most = np.zeros((terms, max(1, self.blocks)))
-        np.maximum.at(self.most, (rows.terms, owner // BLOCK), rows.weights)
-        rare = np.flatnonzero(self.column[rows.terms] < 0)
-        order = rare[np.lexsort((owner[rare], rows.terms[rare], owner[rare] // BLOCK))]
-        self.example, self.weight = owner[order] % BLOCK, rows.weights[order]
-        cells = (owner[order] // BLOCK) * terms + rows.terms[order]
-        self.first = np.searchsorted(cells, np.arange(max(1, self.blocks) * terms + 1)).astype(np.int32)
-        self.terms = terms
+        column = self.column[rows.terms]
+        often = column >= 0
+        self.full_most = np.zeros((len(full), max(1, self.blocks)))
+        np.maximum.at(self.full_most, (column[often], owner[often] // BLOCK), rows.weights[often])
+        rare = np.flatnonzero(~often)
+        order = rare[np.lexsort((owner[rare], rows.terms[rare]))]
+        self.example, self.weight = (owner[order] % BLOCK).astype(np.uint8), rows.weights[order]
+        # a cell is a term in a block: where its postings start, their block and their largest weight
+        cell = rows.terms[order] * max(1, self.blocks) + owner[order] // BLOCK
+        start = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(start, len(order)).astype(np.int32)
+        self.block = (cell[start] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.cells = np.searchsorted(cell[start] // max(1, self.blocks), np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, queries: Rows, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
         """For each query the k examples of largest positive cosine (position, or -1), the cosines (ties to the smaller id), and the blocks visited."""
@@ -187,10 +198,12 @@ class Index:
         full = queries.dense(self.column, self.full.shape[1])
         listed = np.flatnonzero(self.column[queries.terms] < 0)
         owner, terms, weights = queries.owner()[listed], queries.terms[listed], queries.weights[listed]
-        some = np.flatnonzero(self.column >= 0)
-        upper = full @ self.most[some]
-        for b in range(self.blocks):
-            upper[:, b] += np.bincount(owner, weights * self.most[terms, b], n)
+        first = self.cells[terms].astype(np.int64)
+        cell, lengths = _runs(first, self.cells[terms + 1] - first)  # the cells of each query term, by block
+        order = np.argsort(self.block[cell], kind="stable")
+        cell, owner, weights = cell[order], np.repeat(owner, lengths)[order], np.repeat(weights, lengths)[order]
+        ends = np.searchsorted(self.block[cell], np.arange(self.blocks + 1))
+        upper = full @ self.full_most + np.bincount(owner * self.blocks + self.block[cell], weights * self.most[cell], n * self.blocks).reshape(n, -1)
         found = np.zeros((n, size))
         best = np.zeros((n, k))
         visited = 0
@@ -203,9 +216,9 @@ class Index:
             score = full[active] @ self.full[lo:hi].T
             row = np.full(n, -1)
             row[active] = np.arange(len(active))
-            mine = np.flatnonzero(row[owner] >= 0)
-            cell = b * self.terms + terms[mine]
-            at, lengths = _runs(self.first[cell].astype(np.int64), (self.first[cell + 1] - self.first[cell]).astype(np.int64))
+            mine = ends[b] + np.flatnonzero(row[owner[ends[b] : ends[b + 1]]] >= 0)
+            start = self.start[cell[mine]].astype(np.int64)
+            at, lengths = _runs(start, self.start[cell[mine] + 1] - start)
             to = np.repeat(row[owner[mine]] * BLOCK, lengths) + self.example[at]
             score += np.bincount(to, np.repeat(weights[mine], lengths) * self.weight[at], len(active) * BLOCK).reshape(-1, BLOCK)[:, : hi - lo]
             found[active, lo:hi] = score
@@ -277,15 +290,28 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held: Column, id_col: str
     return fit(sample, vocabulary, idf, weight, check_weight)
 
 
+def contrast(bounds: np.ndarray, terms: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """For each term the standard score of its log odds ratio between rows of label 1 and 0 (smoothed by a half; other labels don't count)."""
+    of = np.repeat(label, np.diff(bounds))
+    odds, variance = [], np.zeros(size)
+    for c in (1, 0):
+        held, rows = np.bincount(terms[of == c], minlength=size), int((label == c).sum())
+        odds.append(np.log((held + 0.5) / (rows - held + 0.5)))
+        variance += 1 / (held + 0.5) + 1 / (rows - held + 0.5)
+    return (odds[0] - odds[1]) / np.sqrt(variance)
+
+
 def fit(sample: pa.Table, vocabulary: Vocabulary, idf: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), check_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Index the examples of ``sample`` (id, label, calibrates, terms, counts) and calibrate their votes on the other rows."""
+    """Weigh terms by the examples of ``sample`` (id, label, calibrates, terms, counts), index these and calibrate their votes on the other rows."""
     ids, label = np.array(sample.column("id").to_pylist()), np.array(sample.column("label").to_pylist(), int)
     checks = np.array(sample.column("calibrates").to_pylist(), bool)
     lists = sample.column("terms").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     counts = sample.column("counts").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     bounds = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-    rows = Rows.of(bounds, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), idf)
     mine, other = np.flatnonzero(~checks), np.flatnonzero(checks)
+    terms = lists.flatten().to_numpy().astype(np.int64)
+    idf = idf * (FLOOR + np.abs(contrast(bounds, terms, np.where(checks, -1, label), len(idf))))
+    rows = Rows.of(bounds, terms, counts.flatten().to_numpy(), idf)
     index = Index(ids[mine] if len(mine) else np.zeros(0, int), label[mine], rows.take(mine), len(idf))
     total = np.bincount(label, np.where(checks[:, None], check_weight, weight)[np.arange(len(label)), label], 2) if len(label) else np.zeros(2)
     base = float(np.log((total[1] + 1) / (total[0] + 1)))

@@ -17,7 +17,7 @@ from .conftest import sentence
 
 def plain_grams(text):
     words = re.findall(r"[a-z0-9\x80-\xff]+", "".join(chr(c + 32 if 65 <= c <= 90 else c) for c in (text or "").encode()))
-    return [f" {w} "[i : i + 4] for w in words if len(w) > 2 for i in range(len(w) - 1)]
+    return [f" {w} "[i : i + 5] for w in words if len(w) > 3 for i in range(len(w) - 2)]
 
 
 def random_rows(rng, n, terms):
@@ -83,9 +83,17 @@ def test_scores_are_those_of_a_plain_search(spark):
     examples = [i for i in sorted(known) if i in set(model.index.ids.tolist())]
     assert 0 < len(examples) < len(known) and 5000 not in model.index.ids
     vocabulary = {g for i in examples for g in plain_grams(texts[i])}
+    holders = {c: Counter(g for i in examples if label[i] == c for g in set(plain_grams(texts[i]))) for c in (0, 1)}
+    many = Counter(label[i] for i in examples)
+
+    def contrast(g):
+        have, lack = ([f(c) + 0.5 for c in (1, 0)] for f in (lambda c: holders[c][g], lambda c: many[c] - holders[c][g]))
+        return abs(log(have[0] / lack[0]) - log(have[1] / lack[1])) / sqrt(sum(1 / x for x in have + lack))
+
+    clear = {g: 0.1 + contrast(g) for g in vocabulary}
 
     def vector(text):
-        w = {g: (1 + log(n)) * (log((1 + len(rows)) / (1 + frequency[g])) + 0.1) for g, n in Counter(plain_grams(text)).items() if g in vocabulary}
+        w = {g: (1 + log(n)) * (log((1 + len(rows)) / (1 + frequency[g])) + 0.1) * clear[g] for g, n in Counter(plain_grams(text)).items() if g in vocabulary}
         size = sqrt(sum(x * x for x in w.values()))
         return {g: x / size for g, x in w.items()}
 
