@@ -8,7 +8,8 @@ about decides which are near, and toxic wording, a few words of a text, hardly d
 The examples stand in blocks of an inverted index: a block holds, for each of its
 terms, the postings (example, weight) and their largest weight; a term has entries
 for the blocks that hold it only.  A query visits only blocks whose summed maxima
-reach its k-th best cosine, so the neighbours are exact.
+reach its k-th best cosine, so the neighbours are exact; the commonest terms are
+full rows whose exact sums, lower bounds of the cosines, come before the lists.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ROWS = 256
 #: Weight of a term that tells the classes apart not at all, beside the standard score of those that do.
 FLOOR = 0.1
 #: Terms whose postings are kept as full rows of a block (the most frequent ones); all others are lists.
-FULL = 2048
+FULL = 4096
 
 
 class Vocabulary:
@@ -186,7 +187,7 @@ class Index:
         cell = rows.terms[order] * max(1, self.blocks) + owner[order] // BLOCK
         start = np.flatnonzero(np.diff(cell, prepend=-1))
         self.start = np.append(start, len(order)).astype(np.int32)
-        self.block = (cell[start] % max(1, self.blocks)).astype(np.int32)
+        self.block = (cell[start] % max(1, self.blocks)).astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.cells = np.searchsorted(cell[start] // max(1, self.blocks), np.arange(terms + 1)).astype(np.int32)
 
@@ -203,26 +204,31 @@ class Index:
         order = np.argsort(self.block[cell], kind="stable")
         cell, owner, weights = cell[order], np.repeat(owner, lengths)[order], np.repeat(weights, lengths)[order]
         ends = np.searchsorted(self.block[cell], np.arange(self.blocks + 1))
-        upper = full @ self.full_most + np.bincount(owner * self.blocks + self.block[cell], weights * self.most[cell], n * self.blocks).reshape(n, -1)
-        found = np.zeros((n, size))
-        best = np.zeros((n, k))
+        listed = np.bincount(owner * self.blocks + self.block[cell], weights * self.most[cell], n * self.blocks).reshape(n, -1)
+        # no weight is negative: what the full rows give is a lower bound of each cosine, and with the listed terms' maxima an upper one of each block
+        found = full @ self.full.T
+        least = np.partition(found, -k, axis=1)[:, -k] if size > k else np.zeros(n)
+        edges = np.arange(0, size, BLOCK)
+        upper = np.maximum.reduceat(found, edges, axis=1) + listed
         visited = 0
-        for b in np.argsort(-upper.sum(0), kind="stable").tolist():
-            active = np.flatnonzero((upper[:, b] > 0) & (upper[:, b] >= best[:, 0] - 1e-9))
+        for turn, b in enumerate(np.argsort(-upper.sum(0), kind="stable").tolist()):
+            if turn % 8 == 7 and size > k:
+                least = np.partition(found, -k, axis=1)[:, -k]
+            active = np.flatnonzero((upper[:, b] > 0) & (upper[:, b] >= least - 1e-9))
             if not len(active):
                 continue
             visited += len(active)
             lo, hi = b * BLOCK, min((b + 1) * BLOCK, size)
-            score = full[active] @ self.full[lo:hi].T
             row = np.full(n, -1)
             row[active] = np.arange(len(active))
-            mine = ends[b] + np.flatnonzero(row[owner[ends[b] : ends[b + 1]]] >= 0)
-            start = self.start[cell[mine]].astype(np.int64)
-            at, lengths = _runs(start, self.start[cell[mine] + 1] - start)
-            to = np.repeat(row[owner[mine]] * BLOCK, lengths) + self.example[at]
-            score += np.bincount(to, np.repeat(weights[mine], lengths) * self.weight[at], len(active) * BLOCK).reshape(-1, BLOCK)[:, : hi - lo]
-            found[active, lo:hi] = score
-            best[active] = np.partition(np.concatenate([best[active], score], 1), -k, axis=1)[:, -k:]
+            to = row[owner[ends[b] : ends[b + 1]]]
+            mine = np.flatnonzero(to >= 0)
+            own = cell[ends[b] + mine]
+            start = self.start[own]
+            at, lengths = _runs(start, self.start[own + 1] - start)
+            to = np.repeat(to[mine] * BLOCK, lengths) + self.example[at]
+            score = np.bincount(to, np.repeat(weights[ends[b] + mine], lengths) * self.weight[at], len(active) * BLOCK).reshape(-1, BLOCK)[:, : hi - lo]
+            found[active, lo:hi] += score
         key = np.round(found * 1e9).astype(np.int64) * size + (size - 1 - self.rank)
         top = np.argpartition(-key, min(k, size) - 1, axis=1)[:, : min(k, size)]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
