@@ -48,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     share.  Edges with a null end are left out.
     """
     checkpoint_folder(edges.sparkSession)
-    edges = edges.select("u", "v").filter("u is not null and v is not null")
+    edges = edges.select("u", "v").filter("u is not null and v is not null").distinct().checkpoint()  # read three times
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     pairs = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     while True:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import tiles
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in order."""
@@ -157,6 +159,16 @@ def _even(frames: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.nd
     return frames[kept], keys[kept], flat
 
 
+def similar_links(rows: DataFrame, least: float, tile: int | None = None) -> DataFrame:
+    """(frame, key, d) -> u, v: edges with the same components as all pairs of keys of a frame whose inner product exceeds ``least``.
+
+    Every pair is compared, tile against tile; a cell returns one edge a key at most.
+    """
+    placed, n, width = tiles.tiled(rows.filter("key is not null"), tile)
+    frames = placed.select(F.col("frame").alias("i"), F.col("frame").alias("j")).distinct()
+    return tiles.met(placed, frames, n, True).mapInArrow(tiles.linked(least, width), "u long, v long")
+
+
 def match_chain(
     keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8, most: int = 128, fewest: int = 5, worst2: float = 0.0004, area: float = 400.0, verify: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -199,11 +199,8 @@ SELECT node, min(reached) AS root FROM r GROUP BY node
 """)
 def components(spark, sf_dir):
     """Components of similar keypoints within a frame."""
-    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    a = rows.select(F.col("vec_id").alias("u"), F.col("embedding").alias("a"), "label")
-    b = rows.select(F.col("vec_id").alias("v"), F.col("embedding").alias("b"), "label")
-    edges = a.join(b, (a["label"] == b["label"]) & (F.col("u") < F.col("v"))).filter(matching.dot(F.col("a"), F.col("b")) > 0.45).select("u", "v")
-    return graph.components(edges)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("frame"), F.col("vec_id").alias("key"), F.col("embedding").alias("d"))
+    return graph.components(matching.similar_links(rows, 0.45))
 
 
 @query("SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18, 4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM events")
