@@ -36,17 +36,19 @@ def distances(left: DataFrame, right: DataFrame, blocks: int = 8) -> DataFrame:
     return a.join(b, ["a", "b"]).select("i", "j", angle(F.col("vi"), F.col("vj")).alias("dist"))
 
 
-def accepted(pairs: DataFrame, by: str, other: str, longest: float, ratio: float) -> DataFrame:
-    """For each ``by`` the nearest ``other``, if nearer than ``longest`` and than ``ratio`` times the second nearest."""
-    w = W.partitionBy(by).orderBy("dist", other)
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").withColumn("second", F.lead("dist").over(w))
-    return ranked.filter((F.col("rank") == 1) & (F.col("dist") < longest) & (F.col("second").isNull() | (F.col("dist") < ratio * F.col("second")))).select("i", "j", "dist")
+def _two_frames(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(i, vi) and (j, vj) as the keypoints of frames 0 and 1, and that pair."""
+    rows = left.select(F.lit(0).alias("frame"), F.col("i").alias("key"), F.col("vi").alias("d")).union(right.select(F.lit(1), "j", "vj"))
+    return rows, left.sparkSession.range(1).select(F.lit(0).alias("i"), F.lit(1).alias("j"))
 
 
 def mutual_ratio_matches(left: DataFrame, right: DataFrame, longest: float = 0.7, ratio: float = 0.8) -> DataFrame:
-    """(i, j, dist) that are each other's accepted nearest neighbour."""
-    pairs = distances(left, right)
-    return accepted(pairs, "i", "j", longest, ratio).join(accepted(pairs, "j", "i", longest, ratio).select("i", "j"), ["i", "j"])
+    """(i, vi) and (j, vj), with whole-number ids -> (i, j, dist) that are each other's nearest neighbour, nearer than ``longest`` and than ``ratio`` times the second nearest.
+
+    A null descriptor is at distance 0 of every other, as in :func:`angle`.
+    """
+    found = _mutual(*_two_frames(left, right), longest, ratio, None, True)
+    return found.select(F.col("key_i").alias("i"), F.col("key_j").alias("j"), "dist")
 
 
 def best_matches(matches: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
@@ -159,6 +161,18 @@ def _even(frames: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.nd
     return frames[kept], keys[kept], flat
 
 
+def _mutual(rows: DataFrame, pairs: DataFrame, longest: float, ratio: float, tile: int | None, blanks: bool) -> DataFrame:
+    placed, n, width = tiles.tiled(rows, tile, blanks)
+    run = tiles.nearest(2, True, width, longest / min(ratio, 1.0) if ratio > 0 else longest)  # farther ones are neither accepted nor in the way
+    found = tiles.met(placed, pairs, n).mapInArrow(run, "i long, j long, side int, key long, other long, dist double")
+    best = found.groupBy("i", "j", "side", "key").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "other"))), 1, 2).alias("x"))
+    first, second = F.col("x")[0], F.coalesce(F.get("x", F.lit(1))["dist"], F.lit(float("inf")))
+    fine = best.filter((first["dist"] < longest) & (first["dist"] < ratio * second)).select("i", "j", "side", "key", first["dist"].alias("dist"), first["other"].alias("other"))
+    left = fine.filter("side = 0").select("i", "j", F.col("key").alias("key_i"), F.col("other").alias("key_j"), "dist")
+    right = fine.filter("side = 1").select("i", "j", F.col("other").alias("key_i"), F.col("key").alias("key_j"))
+    return left.join(right, ["i", "j", "key_i", "key_j"])
+
+
 def similar_links(rows: DataFrame, least: float, tile: int | None = None) -> DataFrame:
     """(frame, key, d) -> u, v: edges with the same components as all pairs of keys of a frame whose inner product exceeds ``least``.
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framequarry.operators import graph, matching, tiles
@@ -29,6 +30,54 @@ def cell(a, b, pairs):
     return iter([whole.slice(0, 7), whole.slice(7)])
 
 
+@pytest.mark.parametrize("held", [50, 1 << 18])
+def test_a_cell_gives_the_nearest_in_double_precision(monkeypatch, held):
+    monkeypatch.setattr(tiles, "ROWS", 17), monkeypatch.setattr(tiles, "COLUMNS", 130), monkeypatch.setattr(tiles, "HELD", held)
+    rng = np.random.default_rng(1)
+    x, y = vectors(rng, 60), vectors(rng, 300)
+    y[::7] = x[rng.integers(60, size=len(y[::7]))]
+    frames = [(0, 0, 60), (1, 60, 100)]
+    a = [(0, k, x[k].tolist()) for k in range(59)] + [(0, 59, None)]
+    b = [(5, 1000 + k, y[k].tolist()) for k in range(200)] + [(6, 1000 + k, y[k].tolist()) for k in range(200, 298)] + [(6, 1298, None), (6, 1299, None)]
+    got = {}
+    for batch in tiles.nearest(3, True, 6, np.inf)(cell(a, b, [(0, 5), (0, 6)])):
+        for r in batch.to_pylist():
+            got.setdefault((r["j"], r["side"], r["key"]), []).append((r["dist"], r["other"]))
+    far = np.arccos(np.clip(summed(x, y), -1, 1))
+    far[59], far[:, 298:] = 0, 0  # nulls
+    want = {}
+    for j, s, e in ((5, 0, 200), (6, 200, 300)):
+        for r in range(60):
+            want[j, 0, r] = sorted((far[r, c], 1000 + c) for c in range(s, e))[:3]
+        for c in range(s, e):
+            want[j, 1, 1000 + c] = sorted((far[r, c], r) for r in range(60))[:3]
+    assert {k: sorted(v) for k, v in got.items()} == want and frames
+
+
+def test_nearest_and_mutual_matches_of_large_frames_meet_in_tiles(spark):
+    """Rows that leave a cell are bounded by its keys; the grid of expressions made every pair a row."""
+    rng = np.random.default_rng(2)
+    x, y = vectors(rng, 90), vectors(rng, 120)
+    x[:, 0], y[:, 0] = np.minimum(x[:, 0], 1), np.minimum(y[:, 0], 1)
+    a = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(400, None)], "i long, vi array<double>")
+    b = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "j long, vj array<double>")
+    want = matching.best_matches(matching.distances(a, b), ["i"], ["dist", "j"], 5).collect()
+    got = matching.nearest_matches(a, b, 5, tile=32)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    assert sorted((r.i, r["rank"], r.j, round(r.dist, 9)) for r in got.collect()) == sorted((r.i, r["rank"], r.j, round(r.dist, 9)) for r in want)
+    mutual = matching.mutual_ratio_matches(a, b, 1.2, 0.9)
+    assert "MapInArrow" in mutual._jdf.queryExecution().toString()
+    far = np.arccos(np.clip(np.r_[summed(x, y), np.ones((1, 120))], -1, 1))
+    keys = [*range(90), 400]
+
+    def best(m):
+        order = np.argsort(m, axis=1, kind="stable")
+        return [(o[0], m[r, o[0]] < 1.2 and m[r, o[0]] < 0.9 * m[r, o[1]]) for r, o in enumerate(order)]
+
+    rows, columns = best(far), best(far.T)
+    assert sorted((r.i, r.j) for r in mutual.collect()) == sorted((keys[r], c) for r, (c, ok) in enumerate(rows) if ok and columns[c] == (r, True))
+
+
 @pytest.mark.parametrize("tile", [None, 40])
 def test_links_of_copies_are_no_pairs(spark, tile):
     """900 copies had 404550 edges."""
