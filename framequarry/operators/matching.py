@@ -25,8 +25,8 @@ def angle(a: Column, b: Column) -> Column:
 def distances(left: DataFrame, right: DataFrame, blocks: int = 8) -> DataFrame:
     """(i, vi) x (j, vj) -> (i, j, dist): every left descriptor against every right one.
 
-    All pairs is the operator's meaning (two frames, a bounded number of keypoints
-    each).  The two sides meet in a grid of ``blocks`` x ``blocks`` cells, so the
+    All pairs is the operator's meaning, as a column expression for small frames; for
+    the nearest ones alone see :func:`nearest_matches`.  The two sides meet in a grid of ``blocks`` x ``blocks`` cells, so the
     work spreads evenly and neither side is gathered or broadcast.
     """
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
@@ -51,6 +51,14 @@ def mutual_ratio_matches(left: DataFrame, right: DataFrame, longest: float = 0.7
     return found.select(F.col("key_i").alias("i"), F.col("key_j").alias("j"), "dist")
 
 
+def nearest_matches(left: DataFrame, right: DataFrame, most: int, tile: int | None = None) -> DataFrame:
+    """(i, vi) and (j, vj), with whole-number ids -> i, j, dist, rank: the ``most`` nearest of each i by distance and j; null descriptors as in :func:`mutual_ratio_matches`."""
+    rows, pair = _two_frames(left, right)
+    placed, n, width = tiles.tiled(rows, tile, True)
+    found = tiles.met(placed, pair, n).mapInArrow(tiles.nearest(most, False, width, float("inf")), "i long, j long, side int, key long, other long, dist double")
+    return best_matches(found.select(F.col("key").alias("i"), F.col("other").alias("j"), "dist"), ["i"], ["dist", "j"], most)
+
+
 def best_matches(matches: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each group in a total order; the rank is kept."""
     return matches.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)

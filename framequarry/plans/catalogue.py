@@ -60,8 +60,8 @@ def mutual_ratio_match(spark, sf_dir):
 @query(DISTANCES + "SELECT i, j, round(dist, 9) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d) WHERE rank <= 5")
 def topk_matches(spark, sf_dir):
     """The five nearest keypoints of the other frame."""
-    pairs = matching.distances(_frame(spark, sf_dir, 0, "i", "vi"), _frame(spark, sf_dir, 1, "j", "vj"))
-    return matching.best_matches(pairs, ["i"], ["dist", "j"], 5).select("i", "j", F.round("dist", 9).alias("dist"), "rank")
+    found = matching.nearest_matches(_frame(spark, sf_dir, 0, "i", "vi"), _frame(spark, sf_dir, 1, "j", "vj"), 5)
+    return found.select("i", "j", F.round("dist", 9).alias("dist"), "rank")
 
 
 @query("""
