@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,10 +60,6 @@ def best_matches(matches: DataFrame, group: list[str], order: list[str], most: i
     return matches.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)
 
 
-#: Keypoints of a tile, about.
-TILE = 1024
-
-
 def earlier_pairs(frames: DataFrame, reach: int | None = None, blocks: int = 16) -> DataFrame:
     """(frame) -> i, j: every frame j with each valid earlier frame i, or only those up to ``reach`` before it.
 
@@ -87,86 +79,17 @@ def earlier_pairs(frames: DataFrame, reach: int | None = None, blocks: int = 16)
     return wanted.join(kept, "frame").select(F.col("frame").alias("i"), "j")
 
 
-def _tiles(keypoints: DataFrame, tile: int) -> DataFrame:
-    """(frame, key, descriptor) -> frame, key, d, tile: tiles of about ``tile`` keypoints, of several small frames or a part of a large one."""
-    slim = keypoints.filter(F.col("key").isNotNull() & F.col("frame").isNotNull() & F.col("descriptor").isNotNull())
-    slim = slim.select(F.col("frame").cast("long").alias("frame"), F.col("key").cast("long").alias("key"), F.col("descriptor").cast("array<double>").alias("d"))
-    sizes = slim.groupBy("frame").agg(F.count("*").alias("m"))
-    small = sizes.filter(F.col("m") <= tile).agg(F.sum("m")).first()[0] or 0
-    shared = F.pmod(F.xxhash64("frame"), F.lit(-(-small // tile) or 1))
-    own = F.xxhash64("frame", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / tile).cast("long")))
-    return slim.join(sizes, "frame").select("frame", "key", "d", F.when(F.col("m") <= tile, shared).otherwise(own).alias("tile"))
-
-
-def _two_best(far: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the least distance, its key (the columns ascend by key), and the second least."""
-    at = far.argmin(1)
-    second = np.partition(far, 1, axis=1)[:, 1] if far.shape[1] > 1 else np.full(len(far), np.inf)
-    return far[np.arange(len(far)), at], keys[at], second
-
-
-_BEST = ["i", "j", "side", "key", "dist", "other", "second"]
-
-
-def match_frames(keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8, tile: int = TILE) -> DataFrame:
+def match_frames(keypoints: DataFrame, pairs: DataFrame, longest: float = 0.7, ratio: float = 0.8, tile: int | None = None) -> DataFrame:
     """(frame, key, descriptor) and (i, j) -> i, j, key_i, key_j, dist: mutual best matches under the ratio test, for all pairs of frames at once.
 
-    Keypoints travel in tiles of bounded size, once for each pair of tiles that holds
-    an asked pair of frames; a large frame is several tiles.  A pair of tiles is
-    one product of two matrices and gives each keypoint's best and second best there;
-    these are put together by pair of frames and keypoint.  Ties go to the smaller
-    key; null descriptors take no part, nor do those of another length than their
-    tile's.
+    Keypoints travel in tiles, once for each pair of tiles that holds an asked pair of
+    frames (:mod:`tiles`; ``tile`` keypoints each, if given); a large frame is several
+    tiles.  A pair of tiles gives each keypoint's best and second best there; these are
+    put together by pair of frames and keypoint.  Ties go to the smaller key; null
+    descriptors take no part, nor do those of another length than the longest.
     """
-    tiled = _tiles(keypoints, tile)
-    places = tiled.select("frame", "tile").distinct()
-    at = lambda n, t: places.select(F.col("frame").alias(n), F.col("tile").alias(t))
-    asked = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct().join(at("i", "a"), "i").join(at("j", "b"), "j")
-    cells = asked.groupBy("a", "b").agg(F.collect_list("i").alias("is"), F.collect_list("j").alias("js"))
-    packed = tiled.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("frame", "key", "d"))).alias("p"))
-    packed = packed.select("tile", F.transform("p", lambda x: x["frame"]).alias("f"), F.transform("p", lambda x: x["key"]).alias("k"), F.transform("p", lambda x: F.size(x["d"])).alias("n"), F.flatten(F.transform("p", lambda x: x["d"])).alias("d"))
-    side = lambda t: packed.select(F.col("tile").alias(t), *[F.col(c).alias(c + t) for c in "fknd"])
-    met = cells.join(side("a"), "a").join(side("b"), "b").select("is", "js", "fa", "ka", "na", "da", "fb", "kb", "nb", "db")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i_s, j_s, fa, ka, na, da, fb, kb, nb, db = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(10))
-                width = int(na.max(initial=0))
-                if (na != width).any() or (nb != width).any() or not width:
-                    (fa, ka, da), (fb, kb, db) = (_even(f, k, n, d, width) for f, k, n, d in ((fa, ka, na, da), (fb, kb, nb, db)))
-                if not len(fa) or not len(fb):
-                    continue
-                far = np.arccos(np.clip(da.reshape(len(fa), width) @ db.reshape(len(fb), width).T, -1, 1))
-                out = []
-                for i, j in zip(i_s.tolist(), j_s.tolist()):
-                    rows, columns = slice(*np.searchsorted(fa, [i, i + 1])), slice(*np.searchsorted(fb, [j, j + 1]))
-                    block = far[rows, columns]
-                    if not block.size:
-                        continue
-                    for s, (x, mine, theirs) in enumerate(((block, ka[rows], kb[columns]), (block.T, kb[columns], ka[rows]))):
-                        dist, other, second = _two_best(x, theirs)
-                        near = dist < longest / min(ratio, 1.0)  # farther ones are neither accepted nor in the way
-                        n = int(near.sum())
-                        out.append([np.full(n, i), np.full(n, j), np.full(n, s, np.int32), mine[near], dist[near], other[near], second[near]])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=_BEST)
-
-    found = met.mapInArrow(run, "i long, j long, side int, key long, dist double, other long, second double")
-    best = found.groupBy("i", "j", "side", "key").agg(F.sort_array(F.collect_list(F.struct("dist", "other", "second"))).alias("x"))
-    first, second = F.col("x")[0], F.least(F.col("x")[0]["second"], F.coalesce(F.get("x", F.lit(1))["dist"], F.lit(float("inf"))))
-    fine = best.select("i", "j", "side", "key", first["dist"].alias("dist"), first["other"].alias("other"), second.alias("second")).filter((F.col("dist") < longest) & (F.col("dist") < ratio * F.col("second")))
-    left = fine.filter("side = 0").select("i", "j", F.col("key").alias("key_i"), F.col("other").alias("key_j"), "dist")
-    right = fine.filter("side = 1").select("i", "j", F.col("other").alias("key_i"), F.col("key").alias("key_j"))
-    return left.join(right, ["i", "j", "key_i", "key_j"])
-
-
-def _even(frames: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keypoints whose descriptors have ``width`` numbers."""
-    ends = np.cumsum(sizes)
-    kept = np.flatnonzero(sizes == width)
-    flat = np.concatenate([values[ends[r] - width : ends[r]] for r in kept]) if len(kept) else np.zeros(0)
-    return frames[kept], keys[kept], flat
+    slim = keypoints.filter("key is not null").select("frame", "key", F.col("descriptor").alias("d"))
+    return _mutual(slim, pairs, longest, ratio, tile, False)
 
 
 def _mutual(rows: DataFrame, pairs: DataFrame, longest: float, ratio: float, tile: int | None, blanks: bool) -> DataFrame:

@@ -78,6 +78,16 @@ def test_nearest_and_mutual_matches_of_large_frames_meet_in_tiles(spark):
     assert sorted((r.i, r.j) for r in mutual.collect()) == sorted((keys[r], c) for r, (c, ok) in enumerate(rows) if ok and columns[c] == (r, True))
 
 
+def test_a_large_frame_travels_to_few_cells(spark):
+    """Tiles grow with the rows: with three times the rows, each still travels to about as many cells."""
+    for n in (20_000, 60_000):
+        rows = spark.range(n).selectExpr("id % 10 as frame", "id as key", "array(float(id % 97), float(1)) as d")
+        placed, count, width = tiles.tiled(rows)
+        assert width == 2 and 16 <= count <= 31
+        frames = matching.earlier_pairs(placed.select("frame"))
+        assert tiles.met(placed, frames, count).count() < 32 * n
+
+
 @pytest.mark.parametrize("tile", [None, 40])
 def test_links_of_copies_are_no_pairs(spark, tile):
     """900 copies had 404550 edges."""
